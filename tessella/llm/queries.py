@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact_dedup, langid, toxicity
+from tessella.llm import chat, exact_dedup, jaccard, langid, license, packing, toxicity
 from tessella.llm.common import table
 
 
@@ -19,16 +19,36 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_packing": op3_packing,
         "op7_language_id": op7_language_id,
+        "op8_jaccard_join": op8_jaccard_join,
+        "op9_license_scan": op9_license_scan,
+        "op10_chat_rotation": op10_chat_rotation,
     }
 
 
@@ -40,5 +60,27 @@ FROM n
 """
 
 
+OP10_SQL = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn,
+         replace(CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END, '<|', '< |') AS speaker,
+         replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+b AS (SELECT *, coalesce(CAST(floor(turn / 512.0e0) AS BIGINT), -1) AS block FROM t),
+p AS (SELECT DISTINCT conv_id, speaker AS me FROM t WHERE speaker <> 'system'),
+s AS (
+  SELECT b.*, p.me, b.speaker = p.me AS mine, b.body || '<|im_end|>' || chr(10) AS tail,
+         '<|im_start|>' || CASE WHEN b.speaker = p.me THEN 'assistant' WHEN b.speaker = 'system' THEN 'system'
+                                ELSE 'user name=' || b.speaker END || chr(10) AS head
+  FROM b JOIN p ON b.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, coalesce(sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, me, block ORDER BY turn NULLS FIRST, speaker, body
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM s)
+SELECT conv_id, me AS speaker, block, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (WHERE mine) AS n_targets,
+       string_agg(head || tail, '' ORDER BY turn NULLS FIRST, speaker, body) AS text,
+       coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || '-' || CAST(pos + length(head) + length(tail) - 1 AS BIGINT), ','
+                ORDER BY turn NULLS FIRST, speaker, body) FILTER (WHERE mine), '') AS target_spans
+FROM o GROUP BY conv_id, me, block
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op10_chat_rotation": OP10_SQL}
