@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import common
+from tessella.shipping import map_arrow
 
 BUDGET = 96 << 20
 
@@ -139,10 +140,10 @@ def owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row per distinct normalised text: n_bytes, text_sha256, keep_id, group_size."""
     rows = docs.select(normalised(F.col("text")).cast("binary").alias("text"), F.col("doc_id").cast("long").alias("least"), F.lit(1).cast("long").alias("rows"))
     local, schema = _owners(True, min(budget, 32 << 20))
-    once = rows.mapInArrow(local, schema)
+    once = rows.transform(map_arrow, local, schema)
     dealt = once.repartition(F.col("n_bytes"), F.xxhash64("text_sha256"))
     own, schema = _owners(False, budget)
-    return dealt.select("text", "least", "rows").mapInArrow(own, schema).groupBy("n_bytes", "text_sha256").agg(F.min("least").alias("keep_id"), F.sum("rows").alias("group_size"))
+    return dealt.select("text", "least", "rows").transform(map_arrow, own, schema).groupBy("n_bytes", "text_sha256").agg(F.min("least").alias("keep_id"), F.sum("rows").alias("group_size"))
 
 
 def dedup(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 from tessella.llm.components import components
+from tessella.shipping import map_arrow
 
 WORDS, THRESHOLD, TREES, MAX_DEPTH, RECALL = 5, 0.8, 24, 8, 0.999
 BLOCK_GRAMS, BLOCK_DOCS = 200_000, 1024
@@ -85,7 +86,7 @@ def sketches(docs: DataFrame, k: int, depth: int, forest: Forest) -> DataFrame:
                 keys = pa.array([forest.prefixes(s, depth) if len(s) else [] for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), keys], ["doc_id", "grams", "d1", "d2", "prefixes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, grams long, d1 long, d2 long, prefixes array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, grams long, d1 long, d2 long, prefixes array<long>")
 
 
 def verify(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def _verified(rows: DataFrame, k: int, threshold: float) -> DataFrame:
             yield done()
 
     dealt = rows.repartition(*key).sortWithinPartitions(*key)
-    return dealt.select(*key, "side", "doc_id", "copies", "text").mapInArrow(run, "doc_id long, links long, root long")
+    return dealt.select(*key, "side", "doc_id", "copies", "text").transform(map_arrow, run, "doc_id long, links long, root long")
 
 
 def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL) -> DataFrame:

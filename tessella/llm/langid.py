@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import common
+from tessella.shipping import map_arrow
 
 BITS = 12
 _LOWER = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
             for a, b, texts in common.slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array([r.tobytes() for r in scaled(ngram_counts(texts))], pa.binary())], ["lang", "x"])
 
-    got = common.thin(known, F.col("doc_id"), n, per_language, F.col("lang")).where(F.length("text") > 20).select("lang", "text").mapInArrow(measure, "lang string, x binary").toArrow()
+    got = common.thin(known, F.col("doc_id"), n, per_language, F.col("lang")).where(F.length("text") > 20).select("lang", "text").transform(map_arrow, measure, "lang string, x binary").toArrow()
     lang = got.column("lang").to_pylist()
     names = sorted(set(lang))
     if not names:
@@ -137,5 +138,5 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     scores, unclear = np.where(letters, score, 0.0), unsure & np.array(letters)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(names, pa.string()), pa.array(scores), pa.array(unclear)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, lang_pred string, score double, ambiguous boolean")
     return out.select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import common
+from tessella.shipping import map_arrow
 
 SEQ, END, GRAIN, SALTS = 2048, 1, 8, 32
 VOCABULARY = "byte_bpe_50k"
@@ -52,7 +53,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, seq: int = SEQ,
                 got = np.array(rows, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(got[:, 0])), *(pa.array(got[:, j]) for j in range(1, 5))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def price(duals: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -183,7 +184,7 @@ def pack(pieces: DataFrame, seq: int = SEQ, grain: int = GRAIN, salts: int = SAL
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(slots.find(c, first[c, s] + r - 1))], [*names, "sequence_id"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long"
-    placed = ranked.mapInArrow(place, schema)
+    placed = ranked.transform(map_arrow, place, schema)
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long"))
 
