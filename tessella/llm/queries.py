@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, exact_dedup, jaccard, langid, license, packing, toxicity
-from tessella.llm.common import table
+from tessella.llm import chat, exact_dedup, jaccard, langid, license, media, packing, toxicity, warc
+from tessella.llm.common import shared_path, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.with_media(table(spark, sf_dir, "documents"))).drop("clips")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -45,6 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_packing": op3_packing,
+        "op5_warc": op5_warc,
+        "op6_media": op6_media,
         "op7_language_id": op7_language_id,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_license_scan": op9_license_scan,
@@ -60,6 +70,17 @@ FROM n
 """
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT page_id, payload, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS keep FROM p)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((CAST('0x' || substr(h, CAST((5 * i) // 4 + 1 AS BIGINT), 2) AS INT) >> CAST(3 - (5 * i) % 4 AS INT)) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM g
+"""
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn,
@@ -83,4 +104,4 @@ FROM o GROUP BY conv_id, me, block
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op10_chat_rotation": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_warc": OP5_SQL, "op10_chat_rotation": OP10_SQL}
