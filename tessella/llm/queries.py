@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import chat, exact_dedup, jaccard, langid, license, media, packing, toxicity, warc
+from tessella.llm import chat, exact_dedup, jaccard, langid, license, media, packing, sentencepiece_scan, toxicity, warc
 from tessella.llm.common import shared_path, table
 
 
@@ -23,6 +24,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents")))
+    return texts.select("doc_id", "n_chunks", "n_tokens", "ids_digest", F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_packing": op3_packing,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_warc": op5_warc,
         "op6_media": op6_media,
         "op7_language_id": op7_language_id,
