@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import common
-from tessella.shipping import map_arrow
+from tessella.shipping import map_arrow, ship
 
 BITS = 12
 _LOWER = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -140,3 +140,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, lang_pred string, score double, ambiguous boolean")
     return out.select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, all columns, whose language is recognised, that is not `und`."""
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def known(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        out: list[bool] = []
+        for _, _, texts in common.slices(batch, "text"):
+            letters = [any(map(str.isalpha, t.decode())) for t in texts]
+            names = [model.names[k] for k in model.predict(texts)[0]] if model is not None else ["und"] * len(texts)
+            out += [ok and name != "und" for ok, name in zip(letters, names, strict=True)]
+        return pa.array(out, pa.bool_())
+
+    return docs.where(known(F.col("text")))
