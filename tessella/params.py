@@ -26,7 +26,7 @@ class Parameters:
     weight_depth: float = 0.0
     iterations: int = 5
     coverage: float = 1.7
-    base_radius: float = 0.018
+    base_radius: float = 0.024
     count: int = 0
     color_space: str = "RGB"
     seed_mode: str = "rect"
