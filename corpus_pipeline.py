@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import exact_dedup, jaccard, langid, packing, toxicity
-from tessella.llm.common import table, written
+from tessella.llm.common import table, without, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +25,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
     gone = exact_dedup.dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    gone = written(gone.distinct(), "pipeline-copies")
     sha = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
-    return docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    return without(docs, "doc_id", gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group tied by similarities of 0.8 or more the smallest doc_id stays."""
-    gone = jaccard.join(docs).where("doc_id != class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = jaccard.join(docs).where("doc_id != class_id").select(F.col("doc_id").alias("_id"))
+    gone = written(gone.distinct(), "pipeline-near-copies")
+    return without(docs, "doc_id", gone, F.col("doc_id") == F.col("_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,3 +133,28 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         yield begin, begin + len(texts), texts
 
 
+
+
+SIEVE_BITS = 24
+
+
+def sieve(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """Adds _maybe: false only where df's key (long) is surely not in the one column of members.
+
+    A bitmap of 2^SIEVE_BITS hashed bits, as a broadcast table of at most 2^(SIEVE_BITS - 6) words whatever the input, lets
+    wide rows that can't match stay where they are instead of being shuffled for a join."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
+    at = place(F.col(members.columns[0]))
+    bits = members.select(F.shiftright(at, 6).alias("_word"), (at % 64).cast("int").alias("_bit")).distinct()
+    words = bits.groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    here = place(F.col(key).cast("long"))
+    marked = df.withColumns({"_word": F.shiftright(here, 6), "_bit": (here % 64).cast("int")}).join(F.broadcast(words), "_word", "left")
+    return marked.withColumn("_maybe", F.coalesce(F.expr("shiftrightunsigned(_bits, _bit) & 1L = 1L"), F.lit(False))).select(*df.columns, "_maybe")
+
+
+def without(df: DataFrame, key: str, gone: DataFrame, condition: Column) -> DataFrame:
+    """df's rows that meet no row of gone under the condition; gone's first column is what its key must equal. Only rows that the
+    sieve lets through are shuffled."""
+    marked = sieve(df, key, gone)
+    rest = marked.where("_maybe").drop("_maybe").join(gone, condition, "left_anti")
+    return marked.where("NOT _maybe").drop("_maybe").unionByName(rest)
