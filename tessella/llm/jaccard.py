@@ -182,7 +182,8 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, trees: i
     members = common.written(found.join(reps.select(F.col("rep").alias("node"), "grams", "copies"), "node").select(F.col("root").alias("comp"), F.col("node").alias("doc_id"), "grams", "copies"), "members")
     blocks = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("grams") / F.lit(BLOCK_GRAMS)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_DOCS))).cast("int").alias("blocks"))
     placed = members.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select("doc_id", "comp", "copies", "block", "blocks"), "doc_id").dropDuplicates(["doc_id"])
+    near = common.sieve(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", members.select("doc_id")).where("_maybe")
+    texts = near.drop("_maybe").join(placed.select("doc_id", "comp", "copies", "block", "blocks"), "doc_id").dropDuplicates(["doc_id"])
     paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "copies", "text")
     checked = common.written(_verified(paired, k, threshold), "verified")
