@@ -270,3 +270,53 @@ def adaptive_clusters(features: DataFrame, seeds: DataFrame, names: Sequence[str
         clusters = cut(means_generic(labels, features, names, keys), "clusters")
     number = _numbered(labels.select(*keys, "label", F.col("label").alias("old")).distinct(), keys, "label").select(*keys, F.col("old").alias("label"), "cluster_id")
     return labels.join(number, [*keys, "label"]).select(*keys, "px", "py", F.col("cluster_id").alias("label")), clusters
+
+
+def enclaves(labels: DataFrame, points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Of each label only its largest connected part keeps it (the one with the smallest first pixel on ties); every other part
+    takes the label that most of its neighbouring pixels have (the smallest on ties)."""
+    from tessella.operators.graph import connected
+
+    rows = labels.where("label >= 0").withColumn("vertex", F.col("py").cast("long") * (1 << 20) + F.col("px"))
+    right = rows.select(*keys, (F.col("px") - 1).alias("px"), "py", F.col("label").alias("l"), F.col("vertex").alias("dst"))
+    below = rows.select(*keys, "px", (F.col("py") - 1).alias("py"), F.col("label").alias("l"), F.col("vertex").alias("dst"))
+    pairs = rows.join(right.unionByName(below), [*keys, "px", "py"])
+    part = connected(rows.select(*keys, "vertex"), pairs.where("label = l").select(*keys, F.col("vertex").alias("src"), "dst"), keys)
+    rows = cut(rows.join(part, [*keys, "vertex"]), "parts")
+    size = rows.groupBy(*keys, "label", "root").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "label").orderBy(F.desc("n"), "root"))
+    small = size.withColumn("_r", rank).where("_r > 1").select(*keys, "root")
+    packed = rows.select(*keys, "px", "py", F.struct("label", "root").alias("p"))
+    near = shifted(packed, "p", NEAR4, keys, None)
+    each = near.select(*keys, F.col("p.root").alias("root"), F.explode(F.array(*(F.col(f"p_{i}") for i in range(4)))).alias("q")).where("q IS NOT NULL AND q.root != root")
+    votes = each.join(small, [*keys, "root"]).groupBy(*keys, "root", F.col("q.label").alias("_to")).agg(F.count(F.lit(1)).alias("_n"))
+    best = votes.groupBy(*keys, "root").agg(F.max(F.struct("_n", (-F.col("_to")).alias("_m"))).alias("b")).select(*keys, "root", (-F.col("b._m")).alias("_new"))
+    moved = rows.join(best, [*keys, "root"], "left").select(*keys, "px", "py", F.coalesce("_new", "label").cast("int").alias("_l"))
+    out = labels.join(moved, [*keys, "px", "py"], "left")
+    return out.select(*keys, "px", "py", F.coalesce("_l", "label").cast("int").alias("label"))
+
+
+def quadratic_fit(rows: DataFrame, by: Sequence[str], scale: float = 100.0) -> DataFrame:
+    """by, s0..s5: least squares z = s0 + s1 x + s2 y + s3 xy + s4 xx + s5 yy of offsets dx, dy, dz times scale. The 21 + 6 moments are
+    summed by Spark; the 6 x 6 systems, one row each, are solved in arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.shipping import map_arrow
+
+    x, y, z = (F.col(c) * scale for c in ("dx", "dy", "dz"))
+    terms = [F.lit(1.0), x, y, x * y, x * x, y * y]
+    pairs = [(i, j) for i in range(6) for j in range(i, 6)]
+    sums = rows.groupBy(*by).agg(*(F.sum(terms[i] * terms[j]).alias(f"m{i}{j}") for i, j in pairs), *(F.sum(terms[i] * z).alias(f"r{i}") for i in range(6)))
+    types = dict(sums.dtypes)
+    keep = list(by)
+
+    def solve(batches):
+        for b in batches:
+            a, r = np.zeros((b.num_rows, 6, 6)), np.stack([b.column(f"r{i}").to_numpy() for i in range(6)], 1)
+            for i, j in pairs:
+                a[:, i, j] = a[:, j, i] = b.column(f"m{i}{j}").to_numpy()
+            s = np.stack([np.linalg.lstsq(m, v, rcond=None)[0] for m, v in zip(a, r, strict=True)]) if b.num_rows else np.zeros((0, 6))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(s[:, i]) for i in range(6))], [*keep, *(f"s{i}" for i in range(6))])
+
+    return sums.transform(map_arrow, solve, ", ".join([*(f"{c} {types[c]}" for c in keep), *(f"s{i} double" for i in range(6))]))
