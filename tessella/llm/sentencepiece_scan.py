@@ -203,6 +203,13 @@ def scan(matrices: list[Matrix]) -> list[tuple[State, State]]:
     return states
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a few rows each, which bound what a worker holds as Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 _IDS = "doc_id long, row long, chunk int, chunks int, ids array<int>"
 
 
@@ -217,7 +224,7 @@ def _small(docs: DataFrame, model: str) -> DataFrame:
         m = bpe(model)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for a, _, texts in common.slices(batch, "text"):
+            for a, _, texts in common.slices(batch, "text", 1 << 19):
                 got = m.sp.encode([t.decode() for t in texts], num_threads=1) if texts else []
                 yield _out([(ids[a + i], 0, 0, 1, x) for i, x in enumerate(got)])
 
@@ -251,7 +258,7 @@ def _large(docs: DataFrame, model: str, size: int) -> DataFrame:
     cuts = common.written(_cut(docs, model, size).repartition("row", "chunk"), "sentencepiece-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 64):
             flat = [[(*i, *j, v) for i, row in c.matrix().items() for j, v in row.items()] for c in _windows(batch, bpe(model))]
             kind = pa.list_(pa.struct([("i", pa.int32()), ("p", pa.string()), ("j", pa.int32()), ("q", pa.string()), ("v", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array([[dict(zip("ipjqv", e, strict=True)) for e in x] for x in flat], kind)], ["row", "chunk", "m"])
@@ -282,7 +289,7 @@ def _large(docs: DataFrame, model: str, size: int) -> DataFrame:
     states = cells.repartition("row").sortWithinPartitions("row", "chunk").transform(map_arrow, combine, "row long, chunk int, i int, p string, j int, q string")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 64):
             head = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "chunk", "chunks", "i", "p", "j", "q")), strict=True)
             yield _out([(*h[:4], c.trace((h[4], h[5]), (h[6], h[7]))) for h, c in zip(head, _windows(batch, bpe(model)), strict=True)])
 
@@ -301,7 +308,7 @@ def decode_chunks(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bpe(model)
-        for batch in batches:
+        for batch in _parts(batches, 128):
             lists, chunk = batch.column("ids"), batch.column("chunk").to_pylist()
             flat = [x.values.to_numpy().astype(np.int64) for x in lists]
             texts = [m.sp.decode([m.lead, *x.tolist()])[1:] if c else m.sp.decode(x.tolist()) for x, c in zip(flat, chunk, strict=True)]
