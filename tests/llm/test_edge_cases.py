@@ -114,7 +114,7 @@ def test_chat_edges(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("clash")).withColumn("me", F.lit(1))
     got = {(r["conv_id"], r["speaker"]): r for r in chat.rotate(turns).collect()}
     assert set(got) == {(1, "user"), (1, "bob"), (1, "amy"), (2, "unknown"), (None, "unknown")}
-    one = [r for r in chat.rotate(turns.where("conv_id = 1 and speaker is null") if False else turns).collect() if r["conv_id"] == 1 and r["speaker"] == "amy"]
+    one = [r for r in chat.rotate(turns).collect() if r["conv_id"] == 1 and r["speaker"] == "amy"]
     text = "".join(r["text"] for r in sorted(one, key=lambda r: r["block"]))
     assert text.startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=user\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>")
     for r in one:
