@@ -214,9 +214,13 @@ _IDS = "doc_id long, row long, chunk int, chunks int, ids array<int>"
 
 
 def _out(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "row", "chunk", "chunks", "ids"])
+    """rows: doc_id, row, chunk, chunks, ids. The ids go through one flat array, not through nested Python lists."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    *head, ids = list(zip(*rows, strict=True)) or [()] * 5
+    parts = [np.array(x, np.int32) for x in ids]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(head, types, strict=True)), lists], ["doc_id", "row", "chunk", "chunks", "ids"])
 
 
 def _small(docs: DataFrame, model: str) -> DataFrame:
