@@ -275,14 +275,22 @@ FEATURE_SQL = f"""ft AS (SELECT CAST(vec_id % {FW} AS INT) AS px, CAST(vec_id //
 
 
 def feature_points(spark, sf) -> DataFrame:
-    e = table(spark, sf, "embeddings").where(F.col("vec_id") < FW * FH)
+    e = table(spark, sf, "embeddings")
     at = [(F.col("vec_id") % FW).cast("int").alias("px"), F.floor(F.col("vec_id") / FW).cast("int").alias("py")]
     return e.select(*at, *(F.round(F.col("embedding")[i].cast("double"), 9).alias(n) for i, n in enumerate(NAMES)), F.lit(RHO).alias("rho"))
 
 
-def feature_seeds(spark) -> DataFrame:
+def feature_height(spark, sf) -> int:
+    """Rows of the lattice that holds the whole table; FH on the small tables."""
+    last = table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
+    return 0 if last is None else last // FW + 1
+
+
+def feature_seeds(spark, height: int) -> DataFrame:
+    """One seed for every 5 x 5 pixels of the lattice, in its last row at most."""
     i = F.col("id")
-    return spark.range(20).select(i.alias("seed_id"), (2.5 + 5 * (i % 5)).alias("x"), (2.5 + 5 * F.floor(i / 5)).alias("y"))
+    y = F.least(2.5 + 5 * F.floor(i / 5), F.lit(height - 0.5))
+    return spark.range(5 * -(-height // 5)).select(i.alias("seed_id"), (2.5 + 5 * (i % 5)).alias("x"), y.alias("y"))
 
 
 _FR = f"(1/sqrt(pi()*{RHO}e0))"
@@ -305,13 +313,14 @@ def generic_sql(n: int) -> str:
 
 @query("C18", generic_sql(1) + "SELECT px, py, label FROM h0")
 def c18(spark, sf):
-    f = feature_points(spark, sf)
-    return C.assign_generic(C.local_mean(feature_seeds(spark), f, NAMES, FW, FH), f, C.euclid(NAMES), 3.0, 1.0, FW, FH, NAMES)
+    f, h = feature_points(spark, sf), feature_height(spark, sf)
+    return C.assign_generic(C.local_mean(feature_seeds(spark, h), f, NAMES, FW, h), f, C.euclid(NAMES), 3.0, 1.0, FW, h, NAMES)
 
 
 @query("C19", generic_sql(3) + "SELECT cluster_id, round(x, 6) AS x, round(y, 6) AS y, " + ", ".join(f"round({f}, 6) + 0.0e0 AS {f}" for f in NAMES) + " FROM g3")
 def c19(spark, sf):
-    return rounded(C.adaptive_clusters(feature_points(spark, sf), feature_seeds(spark), NAMES, FW, FH, iterations=3)[1].select("cluster_id", "x", "y", *NAMES))
+    h = feature_height(spark, sf)
+    return rounded(C.adaptive_clusters(feature_points(spark, sf), feature_seeds(spark, h), NAMES, FW, h, iterations=3)[1].select("cluster_id", "x", "y", *NAMES))
 
 
 @query("C20", generic_sql(5) + ", nm AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS id FROM h4 GROUP BY label) SELECT px, py, id AS label FROM h4 JOIN nm USING (label)")
@@ -321,11 +330,13 @@ def c20(spark, sf):
 
 
 def adaptive(spark, sf) -> DataFrame:
-    return C.adaptive_clusters(feature_points(spark, sf), feature_seeds(spark), NAMES, FW, FH)[0]
+    h = feature_height(spark, sf)
+    return C.adaptive_clusters(feature_points(spark, sf), feature_seeds(spark, h), NAMES, FW, h)[0]
 
 
 @query("C21", generic_sql(0) + "SELECT cluster_id, x, y, " + ", ".join(f"round({f}, 6) + 0.0e0 AS {f}" for f in NAMES) + f", round({_FR}, 6) AS radius FROM g0")
 def c21(spark, sf):
     """Radius from density, boxes and local means."""
-    got = C.local_mean(feature_seeds(spark), feature_points(spark, sf), NAMES, FW, FH).withColumn("radius", F.lit(1 / math.sqrt(math.pi * RHO)))
+    h = feature_height(spark, sf)
+    got = C.local_mean(feature_seeds(spark, h), feature_points(spark, sf), NAMES, FW, h).withColumn("radius", F.lit(1 / math.sqrt(math.pi * RHO)))
     return rounded(got.select("cluster_id", *(F.col(n) for n in ("x", "y", *NAMES, "radius"))))
