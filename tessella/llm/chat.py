@@ -3,19 +3,21 @@
 For every participant of a conversation the dialogue is rendered with that speaker as assistant and all others as named
 users; system turns stay system turns and are nobody's perspective. Target spans (character offsets of the assistant's
 words and their end mark) say what a model learns from. A conversation is rendered in blocks of up to `BLOCK` turn
-numbers, and a block that still has more rows (many rows with one turn number) is cut by a hash, so no conversation of
-any size meets in one task.
+numbers, and a block that still has more rows (many rows with one turn number) is cut in order into parts of `BLOCK` rows,
+so no conversation of any size meets in one task.
 
 Defined results: a null or blank role is `unknown`, null text is empty, a null turn comes before all others; rows
-repeated within a conversation count once; rows with one turn number are ordered by speaker and text (in a cut block
-by part first); a conversation without participants yields no row.
+repeated within a conversation count once; rows with one turn number are ordered by speaker and text; a conversation
+without participants yields no row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import written
+
 BLOCK = 512
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -28,6 +30,26 @@ def _header(speaker: Column, me: Column) -> Column:
     )
 
 
+def _parts(rows: DataFrame, block: int) -> DataFrame:
+    """rows with part: 0, or in a block of more than `block` rows the rank by turn, speaker and body, in steps of `block`.
+
+    The rank is the place within a partition of one global sort plus the counts of the partitions before, so that no
+    block is ordered in one task."""
+    size = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    size = size.select(F.col("conv_id").alias("c"), F.col("block").alias("k"))
+    at = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k"))
+    order = ["conv_id", "block", "turn", "speaker", "body"]
+    full = rows.join(size, at).select(*order).sort(*order)
+    full = written(full.select("*", F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().alias("place")), "chat-order")
+    piece = full.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("k"), F.col("piece").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    before = F.sum("n").over(Window.partitionBy("c", "k").orderBy("p")) - F.col("n")
+    piece = piece.select("c", "k", "p", (before - F.col("least")).alias("shift"))
+    part = F.floor((F.col("place") + F.col("shift")) / block).cast("long").alias("part")
+    cut = full.join(piece, at & (F.col("piece") == F.col("p"))).select("conv_id", "block", part, "turn", "speaker", "body")
+    rest = rows.join(size, at, "left_anti").select("conv_id", "block", F.lit(0).cast("long").alias("part"), "turn", "speaker", "body")
+    return rest.unionByName(cut)
+
+
 def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, speaker, block, part, n_turns, n_targets, text, target_spans ('from-to' of each, comma-joined)."""
     clean = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))  # noqa: E731  no text can open or close a turn
@@ -39,10 +61,7 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         clean(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body"),
     ).distinct()
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).cast("long"))
-    size = rows.groupBy("conv_id", "block").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    size = size.where("parts > 1").withColumnRenamed("conv_id", "c").withColumnRenamed("block", "k")
-    part = F.coalesce(F.pmod(F.xxhash64("turn", "speaker", "body"), F.col("parts")), F.lit(0)).cast("long").alias("part")
-    rows = rows.join(size, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k")), "left").select("conv_id", "block", part, "turn", "speaker", "body")
+    rows = _parts(rows, block)
 
     people = rows.where(F.col("speaker") != "system").select(F.col("conv_id").alias("c"), F.col("speaker").alias("me")).distinct()
     blocks = rows.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("said"))
