@@ -3,6 +3,7 @@ don't depend on partitioning; order-dependent samplers run one frame at a time i
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Sequence
 
@@ -151,24 +152,39 @@ def error_diffusion(d: np.ndarray) -> np.ndarray:
     return np.array(out).reshape(-1, 2)
 
 
-def error_diffusion_far(d: np.ndarray, rows: int = 8) -> np.ndarray:
-    """Error diffusion whose reach grows with thinness: the error goes to the right, below, and below on either side at a
-    power of two near half the points' distance, at most `rows`; a shift register's bit picks the side that gets more."""
-    out, bits = [], 0xACE1
+def error_diffusion_far(d: np.ndarray) -> np.ndarray:
+    """Error diffusion over a radius of 1, 2, 4 or 8 pixels at densities from 7, 4 and 1 % down. The error of a run of pixels up
+    to the next multiple of the radius goes to places aligned to it, to the right and `radius` rows down, kept for 8 rows in turn;
+    a shift register picks one of two sets of shares."""
+    out, bits = [], 0xFFFFFFFF
     h, w = d.shape
-    e = d.copy()
-    for y in range(h - 1):
-        for x in range(w):
-            v = e[y, x]
-            if v >= 0.5:
+    kept = np.zeros((8, w + 16))
+    for y in range(h):
+        row, x = kept[y % 8], 0
+        while x < w:
+            v = abs(d[y, x])
+            e = d[y, x] + row[x + 8]
+            row[x + 8] = 0.0
+            if e >= 0.5:
+                e -= 1.0
                 out.append((x + 0.5, y + 0.5))
-                v -= 1.0
-            r = int(min(rows, 2 ** max(0, math.floor(math.log2(max(1.0, 0.5 / math.sqrt(d[y, x])))))) if d[y, x] > 0 else rows)
-            bit = (bits ^ bits >> 2 ^ bits >> 3 ^ bits >> 5) & 1
-            bits = bits >> 1 | bit << 15
-            share = {(1, 0): 7, (0, 1): 5, (-r, 1): 3 if bit else 1, (r, 1): 1 if bit else 3}
-            for (dx, dy), s in share.items():
-                e[min(h - 1, y + dy), min(w - 1, max(0, x + dx))] += v * s / 16
+            t = int(100 * v)
+            shift = 0 if t >= 7 else (3, 2, 2, 2, 1, 1, 1)[t]
+            r = 1 << shift
+            ax, ay = x >> shift << shift, y >> shift << shift
+            x += 1
+            while x < min(w, ax + r):
+                e += d[y, x] + row[x + 8]
+                row[x + 8] = 0.0
+                x += 1
+            odd = (bits ^ r) & 1
+            right, left, under, across = (7, 3, 5, 1) if odd else (2, 6, 2, 6)
+            below = kept[(ay + r) % 8]
+            kept[ay % 8, 8 + ax + r] += right / 16 * e
+            below[8 + ax - r] += left / 16 * e
+            below[8 + ax] += under / 16 * e
+            below[8 + ax + r] += across / 16 * e
+            bits = bits >> 1 ^ (0xEDB88320 if odd else 0)
     return np.array(out).reshape(-1, 2)
 
 
@@ -184,26 +200,46 @@ def halvings(d: np.ndarray, least: int = 1) -> list[np.ndarray]:
     return out
 
 
-def error_diffusion_layers(d: np.ndarray) -> np.ndarray:
-    """From the coarsest layer down, error diffusion of the cells that hold at most one point; a cell that emits, or hands its
-    mass on, is emptied on all finer layers."""
-    layers = [np.pad(d, ((0, (1 << (max(d.shape) - 1).bit_length()) - d.shape[0]), (0, (1 << (max(d.shape) - 1).bit_length()) - d.shape[1]))), *halvings(d)]
-    done, out = np.zeros_like(layers[0], bool), []
-    for k in range(len(layers) - 1, -1, -1):
-        size = 1 << k
-        free = ~done[::size, ::size]
-        mass = np.where(free, layers[k], 0.0)
-        take = free & ((mass <= 1.0) | (k == 0)) & (mass >= 0.25 if k else free)
-        carry = 0.0
-        for y, x in zip(*np.nonzero(take), strict=True):
-            v = mass[y, x] + carry
-            if v >= 0.5:
-                out.append(((x + 0.5) * size, (y + 0.5) * size))
-                v -= 1.0
-            carry = v
-            done[y * size : (y + 1) * size, x * size : (x + 1) * size] = True
-    keep = [(x, y) for x, y in out if x < d.shape[1] and y < d.shape[0]]
-    return np.array(keep).reshape(-1, 2)
+def error_diffusion_layers(d: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Walks down the pyramid while a node holds more than 1.5 points. Where it stops, a node of 1/2 or more emits a point at a
+    jittered place, and the rest is shared by its neighbours to the right and below that exist, there and on all finer layers."""
+    base = 5 if d.shape == (480, 640) else 2
+    if base == 5:
+        layers = [d.reshape(96, 5, 128, 5).sum((1, 3))]
+        for _ in range(5):
+            layers.append(layers[-1].reshape(layers[-1].shape[0] // 2, 2, -1, 2).sum((1, 3)))
+    else:
+        layers = halvings(d)
+    out = []
+
+    def jitter(*key: object) -> float:
+        return JITTER * (2 * int(hashlib.md5(":".join(map(str, (seed, *key))).encode()).hexdigest()[:8], 16) / 4294967296.0 - 1)
+
+    def add(level: int, x: int, y: int, v: float) -> None:
+        for k in range(level, -1, -1):
+            s = 1 << level - k
+            layers[k][y * s : (y + 1) * s, x * s : (x + 1) * s] += v / (s * s)
+
+    def walk(level: int, x: int, y: int) -> None:
+        v = layers[level][y, x]
+        if level and v > 1.5:
+            for i in (0, 1):
+                for j in (0, 1):
+                    walk(level - 1, 2 * x + i, 2 * y + j)
+            return
+        if v >= 0.5:
+            size = base << level
+            out.append((size * (x + 0.5 + jitter("x", level, x, y)), size * (y + 0.5 + jitter("y", level, x, y))))
+            v -= 1.0
+        h, w = layers[level].shape
+        near = [(x + i, y + j, n) for i, j, n in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)) if 0 <= x + i < w and y + j < h]
+        for i, j, n in near:
+            add(level, i, j, v * n / sum(n for _, _, n in near))
+
+    for y in range(layers[-1].shape[0]):
+        for x in range(layers[-1].shape[1]):
+            walk(len(layers) - 1, x, y)
+    return np.array(out).reshape(-1, 2)
 
 
 KERNEL_REACH = 1.482837414  # where the kernel has fallen to a thousandth
@@ -365,7 +401,7 @@ def sample(mode: str, density: DataFrame, width: int, height: int, seed: int = 4
         if old is None:
             raise ValueError("dds needs the old points")
         return delta_sample(density, old, width, height, seed, keys)
-    one = {"fs": error_diffusion, "fs_expo": error_diffusion_far, "fs_layers": error_diffusion_layers, "fattal": lambda d: blue_noise(d, seed)}
+    one = {"fs": error_diffusion, "fs_expo": error_diffusion_far, "fs_layers": lambda d: error_diffusion_layers(d, seed), "fattal": lambda d: blue_noise(d, seed)}
     if mode not in one:
         raise ValueError(f"no sampler named {mode}")
     return per_frame(density, width, height, one[mode], keys)
