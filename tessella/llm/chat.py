@@ -6,9 +6,11 @@ words and their end mark) say what a model learns from. A conversation is render
 numbers, and a block that still has more rows (many rows with one turn number) is cut in order into parts of `BLOCK` rows,
 so no conversation of any size meets in one task.
 
-Defined results: a null or blank role is `unknown`, null text is empty, a null turn comes before all others; rows
-repeated within a conversation count once; rows with one turn number are ordered by speaker and text; a conversation
-without participants yields no row.
+Defined results: a null or blank role is `unknown`, line breaks in a role become spaces, `<|` in a role or text becomes
+`< |` (so neither can forge a header); null text is empty, a null turn comes before all others; rows repeated within a
+conversation count once; rows with one turn number are ordered by speaker and text; a conversation without participants
+yields no row, an empty table an empty one; texts are rendered whole, and a conversation is its rows in order of block
+and part; a null conv_id is one conversation; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def _parts(rows: DataFrame, block: int) -> DataFrame:
 def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, speaker, block, part, n_turns, n_targets, text, target_spans ('from-to' of each, comma-joined)."""
     clean = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))  # noqa: E731  no text can open or close a turn
-    speaker = F.trim(F.coalesce(F.col("role").cast("string"), F.lit("")))
+    speaker = F.trim(F.translate(F.coalesce(F.col("role").cast("string"), F.lit("")), "\r\n", "  "))
     rows = turns.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),

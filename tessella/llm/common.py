@@ -3,42 +3,23 @@ folder, folds by checksum and vectorised word hashing over UTF-8 bytes."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.scratch import cut, scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (spark.checkpoint.dir); a fresh local one only where none is set, as in tests."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if set_dir:
-        return set_dir.rstrip("/")
-    own = getattr(spark.sparkContext, "_tessella_shared", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext._tessella_shared = own
-    return own
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder once and read it back from there."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+shared_path, written = scratch, cut
 
 
 def fold(doc_id: str | Column, n: int) -> Column:
@@ -133,28 +114,65 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         yield begin, begin + len(texts), texts
 
 
+def fresh(*names: str) -> list[str]:
+    """Names for helper columns that no table has."""
+    tag = uuid.uuid4().hex[:12]
+    return [f"_{n}_{tag}" for n in names]
 
 
 SIEVE_BITS = 24
 
 
-def sieve(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
-    """Adds _maybe: false only where df's key (long) is surely not in the one column of members.
+def sieve(df: DataFrame, key: Column, members: DataFrame) -> tuple[DataFrame, str]:
+    """df with a boolean column, and its name: false only where the key is surely not in the first column of members.
 
     A bitmap of 2^SIEVE_BITS hashed bits, as a broadcast table of at most 2^(SIEVE_BITS - 6) words whatever the input, lets
     wide rows that can't match stay where they are instead of being shuffled for a join."""
+    word, bit, bits, maybe = fresh("word", "bit", "bits", "maybe")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
     at = place(F.col(members.columns[0]))
-    bits = members.select(F.shiftright(at, 6).alias("_word"), (at % 64).cast("int").alias("_bit")).distinct()
-    words = bits.groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
-    here = place(F.col(key).cast("long"))
-    marked = df.withColumns({"_word": F.shiftright(here, 6), "_bit": (here % 64).cast("int")}).join(F.broadcast(words), "_word", "left")
-    return marked.withColumn("_maybe", F.coalesce(F.expr("shiftrightunsigned(_bits, _bit) & 1L = 1L"), F.lit(False))).select(*df.columns, "_maybe")
-
-
-def without(df: DataFrame, key: str, gone: DataFrame, condition: Column) -> DataFrame:
-    """df's rows that meet no row of gone under the condition; gone's first column is what its key must equal. Only rows that the
-    sieve lets through are shuffled."""
-    marked = sieve(df, key, gone)
-    rest = marked.where("_maybe").drop("_maybe").join(gone, condition, "left_anti")
-    return marked.where("NOT _maybe").drop("_maybe").unionByName(rest)
+    words = members.select(F.shiftright(at, 6).alias(word), (at % 64).cast("int").alias(bit)).distinct()
+    words = words.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias(bits))
+    here = place(key.cast(members.schema[0].dataType))
+    marked = df.withColumns({word: F.shiftright(here, 6), bit: (here % 64).cast("int")}).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned({bits}, {bit}) & 1L = 1L"), F.lit(False))
+    return marked.withColumn(maybe, hit).drop(word, bit, bits), maybe
+
+
+def _near(df: DataFrame, keys: Sequence[Column], others: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """df's rows that can't meet others, those that may, others under fresh names, and the condition of meeting."""
+    others = others.toDF(*fresh(*others.columns))
+    marked, maybe = sieve(df, keys[0], others)
+    same = reduce(Column.__and__, (k.eqNullSafe(F.col(c)) for k, c in zip(keys, others.columns, strict=True)))
+    return marked.where(~F.col(maybe)).drop(maybe), marked.where(maybe).drop(maybe), others, same
+
+
+def without(df: DataFrame, keys: Sequence[Column], gone: DataFrame) -> DataFrame:
+    """df's rows whose keys equal no row of gone (null equals null). Only rows that the sieve lets through are shuffled."""
+    far, near, gone, same = _near(df, keys, gone)
+    return far.unionByName(near.join(gone, same, "left_anti"))
+
+
+def once(df: DataFrame, keys: Sequence[Column], repeated: DataFrame) -> DataFrame:
+    """df with one row (the first by its JSON) of those whose keys equal a row of repeated; other rows as they are."""
+    far, near, repeated, same = _near(df, keys, repeated)
+    box, *own = fresh("box", *repeated.columns)
+    boxed = near.join(repeated, same, "left_semi").select(F.struct(*df.columns).alias(box), *(k.alias(c) for k, c in zip(keys, own, strict=True)))
+    one = boxed.groupBy(*own).agg(F.min_by(box, F.to_json(box)).alias(box)).select(f"{box}.*")
+    return far.unionByName(near.join(repeated, same, "left_anti")).unionByName(one)
+
+
+HOT_LEAST, HOT_MOST = 64, 4096
+
+
+def lookup(rows: DataFrame, keys: list[str], entries: DataFrame, size: str, total: int) -> DataFrame:
+    """rows with the columns of entries (one row for a value of the keys), null where there is none.
+
+    size names the column of entries that says how many of the `total` rows meet the entry. Fewer than HOT_MOST entries can
+    be met by more than total / HOT_MOST rows each, so those are broadcast whatever the input; the rest is joined by a shuffle
+    in which no key has more rows than that."""
+    cut_at = max(HOT_LEAST, total // HOT_MOST)
+    [hot] = fresh("hot")
+    seen = rows.join(F.broadcast(entries.where(F.col(size) > cut_at).withColumn(hot, F.lit(True))), keys, "left")
+    far = seen.where(F.col(hot).isNull()).select(*rows.columns).join(entries.where(F.col(size) <= cut_at), keys, "left")
+    return seen.where(hot).drop(hot).unionByName(far)

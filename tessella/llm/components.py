@@ -1,25 +1,30 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join, so that no node's links are gathered in one place; after each round the
-links are written to the shared folder, which cuts the lineage."""
+Every step is a grouped minimum and a lookup of it, in which the minima of nodes with very many links are broadcast, so
+that no node's links are gathered in one place; after each step the links are written to the shared folder, which cuts the
+lineage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import written
+from tessella.llm.common import lookup, written
 
+# links: u, v with u > v, each once
 
-def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
+def _large_star(links: DataFrame, total: int) -> DataFrame:
+    """Every link (u, v) becomes (u, the least of v and its neighbours)."""
+    ends = F.array(F.struct(F.col("u").alias("v"), F.col("v").alias("m"), F.lit(0).alias("n")), F.struct(F.col("v"), F.lit(None).cast("long").alias("m"), F.lit(1).alias("n")))
+    least = links.select(F.inline(ends)).groupBy("v").agg(F.min("m").alias("m"), F.sum("n").alias("n")).where("m IS NOT NULL AND n > 0")
+    return lookup(links, ["v"], least, "n", total).select("u", F.coalesce("m", "v").alias("v")).distinct()
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+def _small_star(links: DataFrame, total: int) -> DataFrame:
+    """A node's smaller neighbours and the node itself are linked to the least of them."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = lookup(links, ["u"], least, "n", total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,7 +37,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if before["n"] == 0:
             break
-        links = written(_small_star(_large_star(links)), "links")
+        large = written(_large_star(links, before["n"]), "links")
+        links = written(_small_star(large, before["n"]), "links")
         now = mark(links)
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -5,7 +5,10 @@ n-grams of the whole text) predicts it. Decoding takes the codeword with the sma
 logistic loss of the predicted margin weighted by the bit's reliability. A small gap to the runner-up flags ambiguity.
 
 Defined results: `und`, score 0 and not ambiguous for null texts and texts without a letter; a single learned language
-is predicted for everything else, and with none learned everything is `und`. Ties go to the first name in order.
+is predicted for everything else, and with none learned everything is `und`. Ties go to the first name in order. An empty
+table gives an empty one; repeated rows are predicted each, and alike; texts are read whole, in slices; other columns,
+whatever their names, are ignored by `predict` and kept by `accepted`. `accepted` drops what has no letter and, where a
+model was learned, texts that are further from every codeword than a classifier that knows nothing would be.
 """
 
 from __future__ import annotations
@@ -70,9 +73,16 @@ class Model:
         m = x @ self.weights + self.bias
         return np.stack([(np.logaddexp(0, -m * c) * self.trust).sum(1) for c in self.code], 1)
 
+    def text_losses(self, texts: list[bytes]) -> np.ndarray:
+        return np.concatenate([self.losses(scaled(ngram_counts(texts[a : a + 256]))) for a in range(0, len(texts), 256)])
+
+    def near(self, texts: list[bytes]) -> np.ndarray:
+        """Whether the nearest codeword is nearer than it would be if every bit's margin were zero."""
+        return self.text_losses(texts).min(1) < np.log(2) * self.trust.sum()
+
     def predict(self, texts: list[bytes], gap: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, probability-like score, ambiguous."""
-        loss = np.concatenate([self.losses(scaled(ngram_counts(texts[a : a + 256]))) for a in range(0, len(texts), 256)])
+        loss = self.text_losses(texts)
         best = loss.argmin(1)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
@@ -102,11 +112,12 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 150, ridg
     return Model(names, code, w, b, right / right.sum() * len(right))
 
 
-def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
-    """Learn from about per_language rows of each language (by a hash of doc_id), none with crc32(doc_id) mod 4 = 2."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold("doc_id", 4) != 2)).select("doc_id", "text", "lang")
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    n = {k: v for k, v in n.items() if k != "und"}
+def fit(docs: DataFrame, per_language: int = 400, most_languages: int = 64) -> Model | None:
+    """Learn from about per_language rows of each language (by a hash of doc_id and text), none with crc32(doc_id) mod 4 = 2.
+    At most the most_languages values of lang with the most rows are learned, which bounds what the driver holds."""
+    usable = F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").isNotNull() & (common.fold("doc_id", 4) != 2)
+    known = docs.where(F.coalesce(usable, F.lit(False))).select("doc_id", "text", "lang")
+    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not n:
         return None
 
@@ -115,7 +126,7 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
             for a, b, texts in common.slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array([r.tobytes() for r in scaled(ngram_counts(texts))], pa.binary())], ["lang", "x"])
 
-    got = common.thin(known, F.col("doc_id"), n, per_language, F.col("lang")).where(F.length("text") > 20).select("lang", "text").transform(map_arrow, measure, "lang string, x binary").toArrow()
+    got = common.thin(known, F.xxhash64("doc_id", "text"), n, per_language, F.col("lang")).select("lang", "text").transform(map_arrow, measure, "lang string, x binary").toArrow()
     lang = got.column("lang").to_pylist()
     names = sorted(set(lang))
     if not names:
@@ -143,7 +154,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, all columns, whose language is recognised, that is not `und`."""
+    """The rows of docs, all columns, that hold a letter and whose nearest codeword is near enough (see above)."""
     ship(docs.sparkSession)
 
     @F.arrow_udf("boolean")
@@ -151,9 +162,8 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
         batch = pa.RecordBatch.from_arrays([text], ["text"])
         out: list[bool] = []
         for _, _, texts in common.slices(batch, "text"):
-            letters = [any(map(str.isalpha, t.decode())) for t in texts]
-            names = [model.names[k] for k in model.predict(texts)[0]] if model is not None else ["und"] * len(texts)
-            out += [ok and name != "und" for ok, name in zip(letters, names, strict=True)]
+            letters = np.array([any(map(str.isalpha, t.decode())) for t in texts])
+            out += (letters if model is None else letters & model.near(texts)).tolist()
         return pa.array(out, pa.bool_())
 
     return docs.where(known(F.col("text")))

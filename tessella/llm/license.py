@@ -6,8 +6,12 @@ vote for the diagonal (document position minus template position) they lie on. A
 has all its 3-grams. For the longer templates, neighbouring diagonals (insertions and deletions of at most `DRIFT` words)
 are merged, and a merged span is accepted if it covers enough of the template without being stretched.
 
-Defined results: null counts as empty (no words, no places, empty label lists, score 0); rows repeated with one doc_id
-and equal word counts are scanned as one and yield one row.
+Rows are told apart by their place in the input, given as they are read, so votes of rows with equal or null ids don't mix
+and no id gathers more than its own text. Read the documents from files, where a row's place stays the same.
+
+Defined results: null counts as empty (no words, no places, empty label lists, score 0); every row yields a row, repeated
+ones too. An empty table gives an empty one; texts are scanned whole; ties between labels don't arise, as all are listed;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,36 +46,39 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MARK = "\x01"  # stands before the first word; no word holds it
 
 
-def template_grams(spark, templates: list[tuple[int, str, bool, str]]) -> DataFrame:
-    """t (template), base, label, total (3-grams), tpos, and the three words of each 3-gram."""
+def template_rows(base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> list[tuple]:
+    """t (template), label, base, total (3-grams), t_words, tpos, and the three words of each 3-gram."""
+    listed = [(label, True, phrase) for phrase, label in base.items()] + [(label, False, text) for label, text in templates.items()]
     rows = []
-    for t, label, base, text in templates:
+    for t, (label, own, text) in enumerate(listed):
         w = text.split()
-        rows += [(t, label, base, len(w) - K + 1, len(w), i, *w[i : i + K]) for i in range(len(w) - K + 1)]
+        rows += [(t, label, own, len(w) - K + 1, len(w), i, *w[i : i + K]) for i in range(len(w) - K + 1)]
+    return rows
+
+
+def template_grams(spark, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "t int, label string, base boolean, total int, t_words int, tpos int, a string, b string, c string").withColumn("h", F.xxhash64("a", "b", "c"))
 
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    listed = [(i, label, True, phrase) for i, (phrase, label) in enumerate(base.items())]
-    listed += [(len(base) + i, label, False, text) for i, (label, text) in enumerate(templates.items())]
-    grams = F.broadcast(template_grams(docs.sparkSession, listed))
+    grams = F.broadcast(template_grams(docs.sparkSession, template_rows(base, templates)))
 
     lowered = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_remove(F.split(lowered, _GAP), "").alias("w"))
-    marked = words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.concat(F.array(F.lit(_MARK)), "w").alias("w"))
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.array_remove(F.split(lowered, _GAP), "").alias("w"))
+    marked = words.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.concat(F.array(F.lit(_MARK)), "w").alias("w"))
     n = F.size("w")
     zipped = F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), n).alias("y"), F.slice("w", F.lit(3), n).alias("z"))
-    rolled = marked.select("doc_id", "n_words", F.posexplode(zipped).alias("pos", "g"))
-    rolled = rolled.select("doc_id", "n_words", (F.col("pos") - 1).alias("pos"), "g", F.xxhash64("g.x", "g.y", "g.z").alias("rh"))
+    rolled = marked.select("row", "doc_id", "n_words", F.posexplode(zipped).alias("pos", "g"))
+    rolled = rolled.select("row", "doc_id", "n_words", (F.col("pos") - 1).alias("pos"), "g", F.xxhash64("g.x", "g.y", "g.z").alias("rh"))
     same = (F.col("rh") == F.col("h")) & (F.col("g.x") == F.col("a")) & (F.col("g.y") == F.col("b")) & (F.col("g.z") == F.col("c"))
     hits = rolled.join(grams, same, "left").where((F.col("pos") < 0) | F.col("t").isNotNull())  # position -1 keeps every document
-    hits = hits.select("doc_id", "n_words", "pos", "t", "label", "base", "total", "t_words", "tpos").repartition("doc_id").dropDuplicates(["doc_id", "n_words", "pos", "t", "tpos"])
+    hits = hits.select("row", "doc_id", "n_words", "pos", "t", "label", "base", "total", "t_words", "tpos").repartition("row")
 
-    doc = ["doc_id", "n_words"]
+    doc = ["row", "doc_id", "n_words"]
     template = [*doc, "t", "label", "base", "total", "t_words"]
     votes = hits.withColumn("diag", F.col("pos") - F.col("tpos")).groupBy(*template, "diag").agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    along = Window.partitionBy(*doc, "t").orderBy("diag")
+    along = Window.partitionBy("row", "t").orderBy("diag")
     near = F.col("diag") - F.lag("diag").over(along) <= DRIFT
     joined = votes.withColumn("fresh", F.when(near & ~F.col("base"), 0).otherwise(1)).withColumn("span", F.sum("fresh").over(along))
     spans = joined.groupBy(*template, "span").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diag").alias("diag"))
@@ -88,4 +95,4 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str]
         listed_of(place).alias("base_labels"),
         listed_of(good).alias("labels"),
         F.round(F.coalesce(F.max("cover"), F.lit(0.0)), 6).alias("score"),
-    )
+    ).drop("row")

@@ -7,7 +7,9 @@ holds 64 bytes and is its own restart interval. `Reader` parses the RIFF chunks
 decodes baseline intra frames (the form above in whole arrays, others symbol by symbol) and yields luma planes; `clips`
 cuts at histogram differences that stand out against the differences just before them.
 
-Defined results: null text is an empty payload of one block of zeros; equal texts give equal files and features.
+Defined results: null text is an empty payload of one block of zeros; equal texts give equal files and features, repeated
+rows a row each. An empty table gives an empty one; texts of any length are stored whole; null ids stay null; other
+columns, whatever their names, are ignored. A file without frames has no clips.
 """
 
 from __future__ import annotations
@@ -288,14 +290,14 @@ def clips(histograms: np.ndarray, fps: float, memory: int = 8, k: float = 3.0, l
 
 
 def with_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: every text's file."""
+    """doc_id, n_bytes, media: every text's file. The column is stored in the shared folder and is read from there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in common.slices(batch, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).transform(map_arrow, run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).transform(map_arrow, run, "doc_id long, n_bytes long, media binary").transform(common.written, "media", compression="zstd")
 
 
 _READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<shot:int,start_s:double,end_s:double>>"
@@ -330,4 +332,10 @@ def read_media(media: DataFrame) -> DataFrame:
 
 def clip_rows(read: DataFrame) -> DataFrame:
     """One row per shot: doc_id, shot, start_s, end_s."""
-    return read.select("doc_id", F.explode("clips").alias("c")).select("doc_id", "c.shot", "c.start_s", "c.end_s")
+    return read.select("doc_id", F.inline("clips"))
+
+
+def clip_list(read: DataFrame) -> DataFrame:
+    """read_media()'s rows with their clips as text, 'from-to' in seconds, comma-joined."""
+    times = F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"]))
+    return read.withColumn("clips", F.array_join(times, ","))

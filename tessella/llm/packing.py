@@ -4,14 +4,21 @@ A document is cut into full pieces of SEQ tokens and one shorter rest. The rests
 GRAIN tokens, form a histogram (bounded: classes x salts) whose cutting-stock linear program is solved on the driver:
 a revised simplex over patterns, new patterns priced by a knapsack dynamic program over the duals. Pattern counts are
 rounded down and what remains is filled greedily, largest class first. Documents are ranked within their class (over
-salts, so that no class meets in one task) and the rank decides the pattern, its instance and so the sequence.
-
-Defined results: null counts as empty, an empty text is the one token of its end mark; repeated rows are packed each.
+salts, as many as the class needs for at most about `PER_SALT` rows in a task) and the rank decides the pattern, its
+instance and so the sequence. A full piece fills a sequence of its own and isn't ranked.
+
+Defined results: null counts as empty, an empty text is the one token of its end mark; repeated rows, and rows with null
+or equal ids, are packed each. Pieces that tie in length are ranked by doc_id, start and checksum; which of two equal ones
+comes first makes no difference. Texts of any length are read whole. An empty table gives an empty one; other columns,
+whatever their names, are ignored. The string of an added token (`<|endoftext|>`) stands for that token, as the library
+reads it; `added=False` reads it as ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,31 +31,49 @@ from pyspark.sql import functions as F
 from tessella.llm import common
 from tessella.shipping import map_arrow
 
-SEQ, END, GRAIN, SALTS = 2048, 1, 8, 32
+SEQ, END, GRAIN, PER_SALT = 2048, 1, 8, 100_000
 VOCABULARY = "byte_bpe_50k"
 
 
-@lru_cache(maxsize=4)
-def encoder(vocabulary: str):
-    """The byte-level BPE of the vocabulary's JSON file, run by the faster of the two libraries that read it."""
-    import public_tokenizers
-    import tiktoken
+class Encoder:
+    """The byte-level BPE of the vocabulary's JSON file. The faster of the two libraries that read the vocabulary encodes what
+    stands between the file's added tokens, which are cut out first, as the library of the file does."""
+
+    def __init__(self, vocabulary: str, added: bool):
+        import public_tokenizers
+        import tiktoken
+
+        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+            listed = json.load(f)["added_tokens"] if added else []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in listed):
+            raise ValueError("added tokens of this vocabulary take more than their own characters")
+        self.added = {t["content"]: t["id"] for t in listed}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.bpe = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def encode(self, text: str) -> list[int]:
+        if self.cut is None or not any(t in text for t in self.added):
+            return self.bpe.encode_ordinary(text)
+        return [i for part in self.cut.split(text) for i in ([self.added[part]] if part in self.added else self.bpe.encode_ordinary(part))]
+
+
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str, added: bool = True) -> Encoder:
+    return Encoder(vocabulary, added)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, seq: int = SEQ, end: int = END) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, seq: int = SEQ, end: int = END, added: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: the pieces of every row's token ids with the end mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, added)
         for batch in batches:
             for a, _, texts in common.slices(batch, "text"):
                 ids, rows = batch.column("doc_id"), []
                 for i, t in enumerate(texts):
-                    tokens = np.array([*enc.encode_ordinary(t.decode()), end], "<u4")
+                    tokens = np.array([*enc.encode(t.decode()), end], "<u4")
                     rows += [(a + i, s, min(seq, len(tokens) - s), zlib.crc32(tokens[s : s + seq].tobytes()), len(tokens)) for s in range(0, len(tokens), seq)]
                 got = np.array(rows, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(got[:, 0])), *(pa.array(got[:, j]) for j in range(1, 5))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -155,38 +180,48 @@ class Slots:
         out = np.empty(len(c), np.int64)
         for k in np.unique(c):
             here = c == k
-            if int(k) not in self.by_class:  # a full piece has a sequence to itself
-                out[here] = self.sequences + rank[here]
-                continue
             start, per, first = self.by_class[int(k)]
             j = np.searchsorted(start, rank[here], "right") - 1
             out[here] = first[j] + (rank[here] - start[j]) // per[j]
         return out
 
 
-def pack(pieces: DataFrame, seq: int = SEQ, grain: int = GRAIN, salts: int = SALTS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, start, length, ...) of at most seq tokens. pieces is read twice."""
+def pack(pieces: DataFrame, seq: int = SEQ, grain: int = GRAIN, per_salt: int = PER_SALT) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, start, length, ids_crc32, ...) of at most seq tokens. pieces is read
+    several times, so it should be a written table."""
     capacity = seq // grain
-    klass = F.when(F.col("length") >= seq, capacity).otherwise(F.floor((F.col("length") + grain - 1) / grain) - 1).cast("int")
-    rows = pieces.withColumn("_class", klass).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    for r in rows.groupBy("_class", "_salt").count().collect():
-        counts[r["_class"], r["_salt"]] = r["count"]
-    slots = Slots(counts[:capacity].sum(1), capacity)
-    first = np.cumsum(counts, 1) - counts
+    klass, salt, rank = common.fresh("class", "salt", "rank")
+    rest = pieces.where(F.col("length") < seq).withColumn(klass, (F.floor((F.col("length") + grain - 1) / grain) - 1).cast("int"))
+    demand = np.zeros(capacity, np.int64)
+    for r in rest.groupBy(klass).count().collect():
+        demand[r[klass]] = r["count"]
+    slots = Slots(demand, capacity)
+    salts = np.maximum(1, -(-demand // per_salt))
+    many = F.element_at(F.array(*(F.lit(int(n)) for n in salts)), F.col(klass) + 1)
+    # of the row alone, where in its file it stands included, so that repeated rows spread too
+    place = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    rest = common.written(rest.withColumn(salt, F.pmod(place, many).cast("int")), "packing-rests")
+    begin = np.cumsum(salts) - salts
+    counts = np.zeros(int(salts.sum()), np.int64)
+    for r in rest.groupBy(klass, salt).count().collect():
+        counts[begin[r[klass]] + r[salt]] = r["count"]
+    before = np.cumsum(counts) - counts
+    first = before - np.repeat(before[begin], salts)  # rows of the class with a smaller salt
     names = pieces.columns
-    by = Window.partitionBy("_class", "_salt").orderBy(F.desc("length"), "doc_id", "start")
-    ranked = rows.withColumn("_rank", F.row_number().over(by).cast("long"))
+    by = Window.partitionBy(klass, salt).orderBy(F.desc("length"), "doc_id", "start", "ids_crc32")
+    ranked = rest.withColumn(rank, F.row_number().over(by).cast("long"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, s, r = (b.column(n).to_numpy() for n in ("_class", "_salt", "_rank"))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(slots.find(c, first[c, s] + r - 1))], [*names, "sequence_id"])
+            c, s, r = (b.column(n).to_numpy() for n in (klass, salt, rank))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(slots.find(c, first[begin[c] + s] + r - 1))], [*names, "sequence_id"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long"
-    placed = ranked.transform(map_arrow, place, schema)
-    within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long"))
+    placed = ranked.transform(map_arrow, place_all, schema)
+    within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long"))
+    full = pieces.where(F.col("length") >= seq)
+    return placed.unionByName(full.withColumn("sequence_id", F.lit(slots.sequences) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")))
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ products per text), which fixes the states at all cuts, and every chunk then bac
 reach over the start of a run of word marks, so a chunk with such a place needs the lattice at its two ends alone and
 has the library encode what lies between; a chunk without any (text without spaces) goes through the lattice whole.
 
-Defined results: null and empty texts have no tokens and decode to the empty text; each repeated row is encoded.
+Defined results: null and empty texts have no tokens and decode to the empty text; each repeated row is encoded, whatever
+its id, null too. Where several paths were equally good, the largest state would be taken, but compatible neighbours leave
+one. An empty table gives an empty one; texts are read whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

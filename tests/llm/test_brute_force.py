@@ -60,8 +60,46 @@ def test_jaccard_blocks(spark, monkeypatch):
 
 
 def test_prefix_depth_reaches_recall():
-    d = jaccard.prefix_depth()
+    d = jaccard.least_depth()
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+    assert jaccard.least_grams(0.8) == 4 and jaccard.least_grams(0.5) == 1
+
+
+def test_prefixes_are_shortened_no_further_than_needed(spark, monkeypatch):
+    """Very similar pairs alone are matched by full labels; pairs near the threshold call for shorter prefixes."""
+    depths, tied = [], jaccard._tied
+    monkeypatch.setattr(jaccard, "_tied", lambda *a: depths.append(a[3]) or tied(*a))
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:200], "x", *words[201:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_links for r in jaccard.join(docs).collect()] == [1, 1] and depths == [8]
+    depths.clear()
+    rows += [(100 * t + i, " ".join([f"t{t}", *words[:40], *(f"u{t}x{j}" for j in range(i))])) for t in range(1, 9) for i in (0, 9)]  # 37 of 46 5-grams
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard.join(docs).collect()}
+    assert depths == [8, 7, 6] and got[1] == got[2] == 1 and got[100] >= 1
+
+
+def test_pairs_are_counted_in_the_first_tree_where_they_meet():
+    roots = np.array([[1, 5, 7], [1, 5, 8], [2, 5, 8]])
+    assert jaccard.meeting(roots, 0)[0].tolist() == [True, True, False]
+    assert jaccard.meeting(roots, 1).tolist() == [[False, False, True], [False, False, True], [True, True, False]]
+    assert not jaccard.meeting(roots, 2).any()
+
+
+def test_forest_labels_keep_prefixes():
+    forest, rng = jaccard.Forest(6, 8, 6), np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [a, np.concatenate([a[:290], a[:10] + np.uint64(1)]), a[:150]]
+    sig = np.array([[(forest.a[j] * s + forest.b[j]).min() for j in range(48)] for s in sets]).reshape(3, 6, 8)
+    root, rest = (np.array(x) for x in zip(*(forest.labels(s) for s in sets)))
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        for t in range(6):
+            same = (sig[i, t] == sig[j, t]).cumprod().sum()
+            assert (root[i, t] == root[j, t]) == (same >= 6)
+            for d in (7, 8):
+                high = [int(x) % 2**64 >> forest.shift(d) for x in (rest[i, t], rest[j, t])]
+                assert (root[i, t] == root[j, t] and high[0] == high[1]) == (same >= d)
 
 
 def test_packing_is_whole(spark):
@@ -71,10 +109,14 @@ def test_packing_is_whole(spark):
 
     rows = [r.asDict() for r in packing.pack_documents(table(spark, SF, "documents")).collect()]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").select("doc_id", "text").limit(40).collect()}
-    for i, t in texts.items():
-        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
-        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert pieces.keys() == texts.keys()
+    for (i, t), got in zip(texts.items(), tokenizer.encode_batch([t or "" for t in texts.values()], add_special_tokens=False), strict=True):
+        ids = np.array([*got.ids, 1], "<u4")
+        own = sorted(pieces[i], key=lambda r: r["start"])
         at = 0
         for r in own:
             assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
@@ -165,5 +207,7 @@ def test_codewords_are_apart():
 def test_trie_keeps_smallest_owner():
     trie = exact_dedup.PatriciaTrie()
     for i, t in enumerate([b"abc", b"ab", b"", b"abd", b"abc", b"b", b"ab", b"abcdef"]):
-        trie.insert(t, 10 - i, 1)
-    assert sorted(trie.terminals()) == [(b"", 8, 1), (b"ab", 4, 2), (b"abc", 6, 2), (b"abcdef", 3, 1), (b"abd", 7, 1), (b"b", 5, 1)]
+        trie.insert(t, 10 - i, 1, 1)
+    trie.insert(b"ab", 4, 2, 5)
+    trie.insert(b"b", None, 1, 1)
+    assert sorted(trie.terminals()) == [(b"", 8, 1, 1), (b"ab", 4, 3, 7), (b"abc", 6, 1, 2), (b"abcdef", 3, 1, 1), (b"abd", 7, 1, 1), (b"b", 5, 1, 2)]
