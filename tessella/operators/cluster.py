@@ -30,6 +30,18 @@ def seeds_at(points: DataFrame, places: DataFrame, keys: Sequence[str] = ()) ->
     return at.join(points.where("is_valid").select(*keys, "px", "py", "radius_px"), [*keys, "px", "py"]).select(*keys, "seed_id", "px", "py", "radius_px")
 
 
+def find_seeds(mode: str, density: DataFrame, points: DataFrame, width: int, height: int, seed: int = 42, keys: Sequence[str] = (), before: DataFrame | None = None) -> DataFrame:
+    """keys, seed_id, px, py, radius_px, label: seeds by the name of a sampler. For dds, before holds the last clusters (cluster_id,
+    px, py), and label is the one a seed comes from, or -1; other samplers know no last clusters and leave -1."""
+    from tessella.operators import sampling
+
+    old = None if before is None else before.select(*keys, F.col("cluster_id").cast("long").alias("seed_id"), F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
+    got = sampling.sample(mode, density, width, height, seed, keys, old)
+    got = got if "origin" in got.columns else got.withColumn("origin", F.lit(-1).cast("long"))
+    got = cut(got.withColumn("seed_id", F.xxhash64("x", "y", "origin")), "seeds")
+    return seeds_at(points, got, keys).join(got.select(*keys, "seed_id", F.col("origin").alias("label")), [*keys, "seed_id"])
+
+
 def edges(points: DataFrame, metric: D.Metric, width: int, height: int, keys: Sequence[str] = (), none: float = 1e6) -> DataFrame:
     """Edge strength: the distance of the left and right plus that of the upper and lower neighbour; `none` at the border
     and beside invalid pixels."""

@@ -97,11 +97,19 @@ def connected(vertices: DataFrame, edges: DataFrame, keys: Sequence[str] = (), m
     raise RuntimeError("components did not settle")
 
 
-def threshold_labels(vertices: DataFrame, edges: DataFrame, threshold: float, keys: Sequence[str] = (), strict: bool = False) -> DataFrame:
-    """Components over edges up to the threshold (below it if strict), numbered by their smallest vertices."""
-    keep = F.col("weight") < threshold if strict else F.col("weight") <= threshold
+def threshold_labels(vertices: DataFrame, edges: DataFrame, threshold: float, keys: Sequence[str] = (), strict: bool = False, weight: str = "weight", label: str = "label") -> DataFrame:
+    """Components over edges up to the threshold (below it if strict), numbered by their smallest vertices. weight and label
+    name the columns that are read and made."""
+    keep = F.col(weight) < threshold if strict else F.col(weight) <= threshold
     roots = connected(vertices, edges.where(keep), keys)
-    return relabel(roots.withColumnRenamed("root", "label"), keys)
+    return relabel(roots.withColumnRenamed("root", "label"), keys).withColumnRenamed("label", label)
+
+
+def segment_labels(strategy: str, vertices: DataFrame, edges: DataFrame, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Segments by strategy: threshold (edges up to it join) or ucm (edges below it)."""
+    if strategy not in ("threshold", "ucm"):
+        raise ValueError(f"no strategy named {strategy}")
+    return threshold_labels(vertices, edges, threshold, keys, strict=strategy == "ucm")
 
 
 def supervised_labels(edges: pd.DataFrame, labels: np.ndarray, threshold: float) -> np.ndarray:

@@ -270,8 +270,9 @@ def c17(spark, sf):
 
 # -- generic features: embeddings on a lattice 25 wide ----------------------------------------------------------------
 NAMES = ("f0", "f1", "f2")
-FW, FH, RHO = 25, 20, 0.04
-FEATURE_SQL = f"""ft AS (SELECT CAST(vec_id % {FW} AS INT) AS px, CAST(vec_id // {FW} AS INT) AS py, round(CAST(embedding[1] AS DOUBLE), 9) AS f0, round(CAST(embedding[2] AS DOUBLE), 9) AS f1, round(CAST(embedding[3] AS DOUBLE), 9) AS f2, label AS truth FROM embeddings WHERE vec_id < {FW * FH})"""
+FW, RHO = 25, 0.04
+FEATURE_SQL = f"""ft AS (SELECT CAST(vec_id % {FW} AS INT) AS px, CAST(vec_id // {FW} AS INT) AS py, round(CAST(embedding[1] AS DOUBLE), 9) AS f0, round(CAST(embedding[2] AS DOUBLE), 9) AS f1, round(CAST(embedding[3] AS DOUBLE), 9) AS f2, label AS truth FROM embeddings),
+hh AS (SELECT max(vec_id) // {FW} + 1 AS h FROM embeddings)"""
 
 
 def feature_points(spark, sf) -> DataFrame:
@@ -281,7 +282,7 @@ def feature_points(spark, sf) -> DataFrame:
 
 
 def feature_height(spark, sf) -> int:
-    """Rows of the lattice that holds the whole table; FH on the small tables."""
+    """Rows of the lattice that holds the whole table."""
     last = table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
     return 0 if last is None else last // FW + 1
 
@@ -299,7 +300,7 @@ _FR = f"(1/sqrt(pi()*{RHO}e0))"
 def generic_sql(n: int) -> str:
     out = [
         FEATURE_SQL,
-        "fs AS (SELECT CAST(i AS BIGINT) AS seed_id, 2.5e0+5*(i % 5) AS x, 2.5e0+5*(i // 5) AS y FROM range(20) t(i))",
+        "fs AS (SELECT CAST(i AS BIGINT) AS seed_id, 2.5e0+5*(i % 5) AS x, least(2.5e0+5*(i // 5), h-0.5e0) AS y FROM (SELECT h, unnest(range(5*((h+4) // 5))) AS i FROM hh))",
         f"g0 AS (SELECT CAST(row_number() OVER (ORDER BY seed_id) - 1 AS INT) AS cluster_id, x, y, {', '.join(f'round(avg({f}), 9) AS {f}' for f in NAMES)} FROM fs JOIN ft ON px BETWEEN greatest(trunc(x-0.25e0*{_FR}), 0) AND trunc(x+0.25e0*{_FR}) AND py BETWEEN greatest(trunc(y-0.25e0*{_FR}), 0) AND trunc(y+0.25e0*{_FR}) GROUP BY seed_id, x, y)",
     ]
     for k in range(n):

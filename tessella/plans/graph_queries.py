@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tessella.functions import metric as D
 from tessella.operators import graph as G
 from tessella.plans.cluster_queries import ONE_SQL, labelled, one_step
 from tessella.plans.fixtures import H, W, lattice, over_lattice
+from tessella.scratch import cut
 from tessella.plans.registry import query, r6, rounded
 
 
@@ -131,6 +133,32 @@ def g03(spark, sf):
     return G.threshold_labels(vertices(spark), region_graph(spark, sf), THRESHOLD, strict=True).select("vertex", "label")
 
 
+def _both_sql() -> str:
+    """Components below the threshold and up to it."""
+    rows = []
+    for k, op in enumerate(("<", "<=")):
+        both = f"(SELECT src AS a, dst AS b FROM gg WHERE weight {op} {THRESHOLD}e0 UNION ALL SELECT dst, src FROM gg WHERE weight {op} {THRESHOLD}e0)"
+        rows.append(f"bo{k} AS {both},\nre{k} AS (SELECT vertex, vertex AS r FROM vx UNION SELECT b, r FROM re{k} JOIN bo{k} ON a = vertex)")
+    head = over_lattice("", GRAPH_SQL).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    label = lambda k, n: f"SELECT '{n}' AS strategy, vertex, CAST(dense_rank() OVER (ORDER BY r) - 1 AS INT) AS label FROM (SELECT vertex, min(r) AS r FROM re{k} GROUP BY vertex)"
+    return f"{head},\n{rows[0]},\n{rows[1]}\n{label(0, 'ucm')}\nUNION ALL {label(1, 'threshold')}"
+
+
+@query("G04", _both_sql())
+def g04(spark, sf):
+    """Segments by the name of a strategy."""
+    e = cut(region_graph(spark, sf), "graph")
+    got = [G.segment_labels(n, vertices(spark), e, THRESHOLD).select(F.lit(n).alias("strategy"), "vertex", "label") for n in ("ucm", "threshold")]
+    return got[0].unionByName(got[1])
+
+
+@query("U07", _component_sql("<="))
+def u07(spark, sf):
+    """Weights and labels under names of the caller's."""
+    e = region_graph(spark, sf).withColumnRenamed("weight", "cost")
+    return G.threshold_labels(vertices(spark), e, THRESHOLD, weight="cost", label="segment").select("vertex", F.col("segment").alias("label"))
+
+
 def given_labels(spark) -> DataFrame:
     """Every tenth vertex has a label, the others none."""
     return vertices(spark).withColumn("given", F.when(F.col("vertex") % 10 == 0, (F.col("vertex") / 10).cast("int")).otherwise(-1))
@@ -166,15 +194,21 @@ def similar(spark, sf) -> DataFrame:
 SIM_SQL = f"{GRAPH_SQL},\nsm AS (SELECT src, dst, round(exp(-weight/0.01e0), 9) AS weight FROM gg),\nen AS (SELECT src AS i, dst AS j, weight AS w FROM sm UNION ALL SELECT dst, src, weight FROM sm),\ndg AS (SELECT vertex, coalesce(sum(w), 0) AS degree FROM vx LEFT JOIN en ON i = vertex GROUP BY vertex),\nlp AS (SELECT i, j, -w AS w FROM en WHERE i IN (SELECT vertex FROM dg WHERE degree >= 0.001) AND j IN (SELECT vertex FROM dg WHERE degree >= 0.001) UNION ALL SELECT vertex, vertex, CASE WHEN degree < 0.001 THEN 1.0e0 ELSE degree END FROM dg UNION ALL SELECT a.vertex, b.vertex, -1.0e0/47 FROM dg a, dg b WHERE a.vertex <> b.vertex AND (a.degree < 0.001 OR b.degree < 0.001)),\nnl AS (SELECT lp.i, lp.j, lp.w/sqrt(a.w*b.w) AS w FROM lp JOIN lp a ON a.i = lp.i AND a.j = lp.i JOIN lp b ON b.i = lp.j AND b.j = lp.j)"
 
 
+@query("U05", over_lattice("SELECT k, round(a.w/a.w, 6) + 0.0e0 AS eigenvalue, a.i AS vertex, round(CASE WHEN a.i = k THEN 1/sqrt(a.w) ELSE 0 END, 6) + 0.0e0 AS value FROM lp a, range(4) t(k) WHERE a.i = a.j", SIM_SQL))
+def u05(spark, sf):
+    """A solver of the caller's: here one that takes the matrix for diagonal."""
+    return rounded(G.spectrum(G.laplacian(vertices(spark), similar(spark, sf)), 4, solver=lambda m, k: (np.diag(m)[:k], np.eye(len(m))[:, :k])))
+
+
 @query("G07")
 def g07(spark, sf):
     """New weights from the 24 smallest eigenvectors of the similarity graph."""
     return rounded(G.spectral_segments(vertices(spark), similar(spark, sf)), 4)
 
 
-@query("G08", over_lattice("SELECT i, j, round(w, 8) + 0.0e0 AS w FROM lp", SIM_SQL))
+@query("G08", over_lattice("SELECT i, j, round(w, 9) + 0.0e0 AS w FROM lp", SIM_SQL))
 def g08(spark, sf):
-    return G.laplacian(vertices(spark), similar(spark, sf)).select("i", "j", (F.round("w", 8) + F.lit(0.0)).alias("w"))
+    return G.laplacian(vertices(spark), similar(spark, sf)).select("i", "j", (F.round("w", 9) + F.lit(0.0)).alias("w"))  # sums of weights of nine places, so no sum lies between two
 
 
 @query("G09", over_lattice("SELECT i, j, round(w, 8) + 0.0e0 AS w FROM nl", SIM_SQL))

@@ -114,10 +114,10 @@ def p18(spark, sf):
     return S.sample_weighted(weights, draws, [])
 
 
-@query("P19", over_lattice("SELECT CAST(px*5 AS INT) AS x, CAST(py*5 AS INT) AS y FROM pix WHERE px % 8 = 4 AND py % 8 = 4"))
+@query("P19", over_lattice("SELECT CAST(px*5 AS INT) AS x, CAST(py*5 AS INT) AS y FROM pix"))
 def p19(spark, sf):
     """Points scaled by a constant; the generator's seed is a parameter everywhere."""
-    return lattice(spark, sf).where("px % 8 = 4 AND py % 8 = 4").select((F.col("px") * 5).alias("x"), (F.col("py") * 5).alias("y"))
+    return lattice(spark, sf).select((F.col("px") * 5).alias("x"), (F.col("py") * 5).alias("y"))
 
 
 @query("P20", over_lattice("SELECT seed_id, px, py, round(radius_px, 6) AS radius_px FROM (SELECT CAST(i AS BIGINT) AS seed_id, 3+9*(i % 8) AS sx, 3+9*(i // 8) AS sy FROM range(48) t(i)) JOIN pts ON px = sx AND py = sy WHERE is_valid", points_sql()))
@@ -126,3 +126,24 @@ def p20(spark, sf):
     i = F.col("id")
     at = spark.range(48).select(i.alias("seed_id"), (3.2 + 9 * (i % 8)).alias("x"), (2.8 + 9 * F.floor(i / 8)).alias("y"))
     return C.seeds_at(points(spark, sf), at).select("seed_id", "px", "py", r6(F.col("radius_px")).alias("radius_px"))
+
+
+_RND = f"SELECT CAST(px AS DOUBLE) AS x, CAST(py AS DOUBLE) AS y FROM dens WHERE {_u('keep', 'px', 'py')} < v"
+_RECT = "SELECT 64.0e0/nx*(i+0.5e0) AS x, 48.0e0/ny*(j+0.5e0) AS y FROM n, range(100) a(i), range(100) b(j) WHERE i < nx AND j < ny"
+_COUNTS = "n AS (SELECT ceil(64/sqrt(3072.0e0/sum(v))) AS nx, ceil(48/sqrt(3072.0e0/sum(v))) AS ny FROM dens)"
+
+
+@query("P13", over_lattice(f"SELECT 'rnd' AS mode, * FROM ({_RND}) UNION ALL SELECT 'rect', * FROM ({_RECT})", f"{DENSITY_SQL},\n{_COUNTS}"))
+def p13(spark, sf):
+    """Samplers by name; any other name is refused."""
+    d = cut(density(spark, sf))
+    got = [S.sample(m, d, W, H).select(F.lit(m).alias("mode"), "x", "y") for m in ("rnd", "rect")]
+    return got[0].unionByName(got[1])
+
+
+@query("P21", over_lattice(f"SELECT mode, p.px, p.py, round(radius_px, 6) AS radius_px, CAST(-1 AS BIGINT) AS label FROM (SELECT 'rnd' AS mode, * FROM ({_RND}) UNION ALL SELECT 'rect', * FROM ({_RECT})) s JOIN pts p ON p.px = round(s.x) AND p.py = round(s.y) WHERE is_valid", f"{DENSITY_SQL},\n{_COUNTS}"))
+def p21(spark, sf):
+    """Seeds by name of the sampler, on valid pixels."""
+    d, pts = cut(density(spark, sf)), cut(points(spark, sf))
+    got = [C.find_seeds(m, d, pts, W, H).select(F.lit(m).alias("mode"), "px", "py", r6(F.col("radius_px")).alias("radius_px"), "label") for m in ("rnd", "rect")]
+    return got[0].unionByName(got[1])

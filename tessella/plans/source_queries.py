@@ -45,6 +45,13 @@ def src01(spark, sf):
     return _sums(S.uniform_frame(spark, noise=True))
 
 
+@query("SRC11", " UNION ALL ".join(f"SELECT '{n}' AS mode, * FROM ({q})" for n, q in (("paraboloid", _frame_sql(1, "600+((px-320)*(px-320)+(py-240)*(py-240)) // 80", "0", "128", "128")), ("uniform", _frame_sql(1, "1200", "32", "128", "128")))))
+def src11(spark, sf):
+    """Sources by name; any other name is refused."""
+    got = [_sums(S.open_frames(spark, "test", n)).withColumn("mode", F.lit(n)) for n in ("paraboloid", "uniform")]
+    return got[0].unionByName(got[1])
+
+
 @query("SRC02", _frame_sql(1, "600+((px-320)*(px-320)+(py-240)*(py-240)) // 80", "0", "128", "128"))
 def src02(spark, sf):
     return _sums(S.paraboloid_frame(spark))
@@ -155,10 +162,10 @@ def src15(spark, sf):
     return T.read_edges(spark, f"{_graph_folder(spark, sf)}/edges.tsv")
 
 
-@query("SRC16", over_lattice("SELECT CAST(px AS DOUBLE) AS x, CAST(py AS DOUBLE) AS y FROM pix WHERE px % 8 = 4 AND py % 8 = 4"))
+@query("SRC16", over_lattice("SELECT CAST(px AS DOUBLE) AS x, CAST(py AS DOUBLE) AS y FROM pix"))
 def src16(spark, sf):
     at = scratch(spark, "points")
-    T.write_tsv(lattice(spark, sf).where("px % 8 = 4 AND py % 8 = 4").select("px", "py", "depth"), at)
+    T.write_tsv(lattice(spark, sf).select("px", "py", "depth"), at)
     return T.read_points(spark, at)
 
 

@@ -78,7 +78,21 @@ def c08(spark, sf):
     return C.enclaves(labels, pts)
 
 
-@query("C11")
+def _solve_sql() -> str:
+    """Gauss-Jordan steps over the 6 x 6 moments of every cluster, no pivoting (they are positive definite)."""
+    terms = ["1.0e0", "dx", "dy", "dx*dy", "dx*dx", "dy*dy"]
+    first = [f"sum(({terms[i]})*({terms[j]})) AS a{i}{j}" for i in range(6) for j in range(6)] + [f"sum(({terms[i]})*dz) AS r{i}" for i in range(6)]
+    out = ["mc AS (SELECT label AS l, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM lab JOIN pts USING (px, py) WHERE label >= 0 GROUP BY label)"]
+    out += ["mo AS (SELECT label, (x-mx)*100 AS dx, (y-my)*100 AS dy, (z-mz)*100 AS dz FROM lab JOIN pts USING (px, py) JOIN mc ON l = label)"]
+    out += [f"z0 AS (SELECT label, {', '.join(first)} FROM mo GROUP BY label)"]
+    for k in range(6):
+        rows = [f"{f'a{i}{j}' if i == k else f'a{i}{j}-a{i}{k}*a{k}{j}/a{k}{k}'} AS a{i}{j}" for i in range(6) for j in range(6)]
+        rows += [f"{f'r{i}' if i == k else f'r{i}-a{i}{k}*r{k}/a{k}{k}'} AS r{i}" for i in range(6)]
+        out.append(f"z{k + 1} AS (SELECT label, {', '.join(rows)} FROM z{k})")
+    return ",\n".join(out)
+
+
+@query("C11", over_lattice("SELECT CAST(label AS INT) AS label, " + ", ".join(f"round(r{i}/a{i}{i}, 3) + 0.0e0 AS s{i}" for i in range(6)) + " FROM z6", f"{ONE_SQL},\n{_solve_sql()}"))
 def c11(spark, sf):
     """Quadratic surfaces through clusters (numpy agrees in the tests)."""
     rows = labelled(spark, sf)
@@ -132,13 +146,6 @@ def u04(spark, sf):
     return rounded(rows.groupBy("label").applyInPandas(visit, "label int, n long, spread double"))
 
 
-@query("U06", over_lattice("SELECT px, py, CAST(depth // 10 AS BIGINT) AS shade FROM pix"))
-def u06(spark, sf):
-    """A colour function of the caller on a field."""
-    shade = lambda d: F.floor(d / 10)
-    return lattice(spark, sf).select("px", "py", shade(F.col("depth")).alias("shade"))
-
-
 @query("U08", "SELECT CAST(i % 16 AS INT) AS px, CAST(i // 16 AS INT) AS py FROM range(192) t(i)")
 def u08(spark, sf):
     """A grid from a table function."""
