@@ -98,13 +98,12 @@ def chains(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of rows (from, to, UTF-8 texts) of a batch, of about most_bytes each; null counts as empty."""
     texts: list[bytes] = []
     size = begin = 0
-    col = batch.column(column).cast(pa.large_binary())
-    for i, t in enumerate(col):
-        v = t.as_py() or b""
+    for i, t in enumerate(batch.column(column)):
+        v = t.as_buffer().to_pybytes() if t.is_valid else b""
         if texts and size + len(v) > most_bytes:
             yield begin, i, texts
             texts, size, begin = [], 0, i
