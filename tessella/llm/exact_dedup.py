@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessella.llm import common
 from tessella.shipping import map_arrow
 
-BUDGET = 96 << 20
+BUDGET = 32 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -148,7 +148,7 @@ def owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row per distinct normalised text: n_bytes, text_sha256, keep_id, keep_rows (rows with that doc_id), group_size."""
     one = F.lit(1).cast("long")
     rows = docs.select(normalised(F.col("text")).cast("binary").alias("text"), F.col("doc_id").cast("long").alias("least"), one.alias("ties"), one.alias("rows"))
-    local, schema = _owners(True, min(budget, 32 << 20))
+    local, schema = _owners(True, min(budget, 16 << 20))
     once = rows.transform(map_arrow, local, schema)
     dealt = once.repartition(F.col("n_bytes"), F.xxhash64("text_sha256"))
     own, schema = _owners(False, budget)

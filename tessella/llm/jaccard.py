@@ -159,7 +159,7 @@ def verify(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.
     both = np.zeros((n, n), np.float32)  # 5-grams in common
     if len(run):
         col = np.cumsum(np.concatenate([[0], run[1:] != run[:-1]]))
-        width = 4096
+        width = 1024
         cut = np.searchsorted(col, np.arange(0, int(col[-1]) + width + 1, width))
         for j in range(len(cut) - 1):
             part = slice(cut[j], cut[j + 1])
