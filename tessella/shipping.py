@@ -1,17 +1,24 @@
-"""Make the package importable by the Python workers of any cluster."""
+"""Make the package importable by the Python workers of any cluster, and keep what these hold small."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES, BATCH_KEY = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once per Spark context."""
+    """Send the package's source to the executors, once per Spark context, and bound the bytes of Arrow batches where the
+    session doesn't: rows are wide, so a batch of many rows is large in the JVM and the worker at once."""
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_tessella_shipped", False):
         return
@@ -27,7 +34,20 @@ def ship(spark: SparkSession) -> None:
     sc._tessella_shipped = True
 
 
+def release() -> None:
+    """Give freed memory back to the machine; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     """df.mapInArrow, with the package known to the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(func, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from func(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
