@@ -222,20 +222,34 @@ def _verified(rows: DataFrame, k: int, threshold: float) -> DataFrame:
     return dealt.select(*UNIT, "side", "id", "copies", "roots", "text").transform(map_arrow, run, "id long, links long, root long, low double")
 
 
-def _tied(leaves: DataFrame, total: int, forest: Forest, depth: int, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The components (node, root) of representatives that share a node of this depth, and those of them with more than one
-    component, or single representative, of before."""
+def _shorten(below: DataFrame, total: int, forest: Forest, depth: int) -> tuple[DataFrame, DataFrame]:
+    """One level up the tries: the nodes of this depth (tree, root, rest of any leaf, least id) from those of the next depth, or
+    from the leaves; and the ties (u, v) between the least ids of nodes that have become one."""
     node = ["tree", "root", "part"]
-    at = leaves.select("id", "tree", "root", forest.prefix(depth).alias("part"))
-    nodes = at.groupBy(*node).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    ties = common.lookup(at, node, common.written(nodes, "forest-nodes"), "n", total).where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    found = components(ties)
-    found = common.written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "forest-components")
+    at = below.withColumn("part", forest.prefix(depth))
+    nodes = at.groupBy(*node).agg(F.min("least").alias("top"), F.min("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
+    nodes = common.written(nodes, "forest-nodes")
+    ties = common.lookup(at.drop("rest"), node, nodes.where("n > 1").select(*node, "top", "n"), "n", total)
+    ties = ties.where("least != top").select(F.col("least").alias("u"), F.col("top").alias("v"))
+    return nodes.select("tree", "root", "rest", F.col("top").alias("least")), ties
+
+
+def _grow(before: DataFrame | None, ties: DataFrame, total: int) -> DataFrame:
+    """Components (node, root, grown) after new ties. Ties are drawn between the components of before, so that what has been
+    joined isn't walked again; grown says whether a component has more than one of before's, or of single representatives."""
+    if before is not None:
+        ties = common.written(ties.distinct(), "forest-ties")
+        for end in ("u", "v"):
+            ends = ties.groupBy(end).agg(F.count(F.lit(1)).alias("n")).join(before.withColumnRenamed("node", end), end)
+            ties = common.lookup(ties, [end], ends, "n", total).withColumn(end, F.coalesce("root", end)).select("u", "v")
+    new = components(ties)
+    new = new.unionByName(new.select(F.col("root").alias("node"), "root").distinct())
     if before is None:
-        return found, found
-    old = found.join(before.select("node", F.col("root").alias("old")), "node", "left").withColumn("old", F.coalesce("old", "node"))
-    grown = old.groupBy("root").agg(F.min("old").alias("a"), F.max("old").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b")
-    return found, common.lookup(found, ["root"], grown.select("root", "n"), "n", total).where("n IS NOT NULL").select("node", "root")
+        return common.written(new.withColumn("grown", F.lit(True)), "forest-components")
+    rows = common.written(before.unionByName(new.select("node", F.col("node").alias("root"))).distinct(), "forest-before")
+    moved = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(new.select(F.col("node").alias("root"), F.col("root").alias("new")), "root")
+    found = common.lookup(rows, ["root"], moved, "n", total)
+    return common.written(found.select("node", F.coalesce("new", "root").alias("root"), F.col("new").isNotNull().alias("grown")), "forest-components")
 
 
 def _units(found: DataFrame, leaves: DataFrame, reps: DataFrame, total: int) -> DataFrame:
@@ -263,11 +277,14 @@ def _units(found: DataFrame, leaves: DataFrame, reps: DataFrame, total: int) ->
 
 def _links(docs: DataFrame, leaves: DataFrame, reps: DataFrame, k: int, threshold: float, recall: float, forest: Forest) -> DataFrame:
     """id, links, root, low, depth of all units of all depths."""
-    out, low, found, total = None, 2.0, None, leaves.count()
+    out, low, before, total = None, 2.0, None, leaves.count()
+    nodes = leaves.select("tree", "root", "rest", F.col("id").alias("least"))
     for depth in range(forest.depth, forest.top - 1, -1):
         if not total:
             break
-        found, grown = _tied(leaves, total, forest, depth, found)
+        nodes, ties = _shorten(nodes, total, forest, depth)
+        found = _grow(before, ties, total)
+        before, grown = found.select("node", "root"), found.where("grown").select("node", "root")
         if grown.isEmpty():
             continue
         units = common.written(_units(grown, leaves, reps, total), "forest-units")
