@@ -15,10 +15,10 @@ from tessella.llm.common import lookup, written
 
 
 def _large_star(links: DataFrame, total: int) -> DataFrame:
-    """Every link (u, v) becomes (u, the least of v and its neighbours)."""
+    """Every link (u, v) becomes (u, the least of v and its neighbours). Repeated links stay; the small star merges them."""
     ends = F.array(F.struct(F.col("u").alias("v"), F.col("v").alias("m"), F.lit(0).alias("n")), F.struct(F.col("v"), F.lit(None).cast("long").alias("m"), F.lit(1).alias("n")))
     least = links.select(F.inline(ends)).groupBy("v").agg(F.min("m").alias("m"), F.sum("n").alias("n")).where("m IS NOT NULL AND n > 0")
-    return lookup(links, ["v"], least, "n", total).select("u", F.coalesce("m", "v").alias("v")).distinct()
+    return lookup(links, ["v"], least, "n", total).select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(links: DataFrame, total: int) -> DataFrame:

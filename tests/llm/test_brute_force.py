@@ -9,6 +9,7 @@ import pytest
 
 from tessella.llm import exact_dedup, jaccard, langid, media, packing, sentencepiece_scan, toxicity
 from tessella.llm.common import chains, table, word_hashes
+from tessella.llm.components import components
 
 SF = "/root/testdata/sf0.01"
 
@@ -211,3 +212,26 @@ def test_trie_keeps_smallest_owner():
     trie.insert(b"ab", 4, 2, 5)
     trie.insert(b"b", None, 1, 1)
     assert sorted(trie.terminals()) == [(b"", 8, 1, 1), (b"ab", 4, 3, 7), (b"abc", 6, 1, 2), (b"abcdef", 3, 1, 1), (b"abd", 7, 1, 1), (b"b", 5, 1, 2)]
+
+
+def test_components_of_chains_and_stars(spark):
+    """Links in any order, repeated, reversed or of a node with itself; stars are returned as they come."""
+    random.seed(9)
+    chain = [(i, i + 1) for i in range(0, 200)]
+    star = [(1000 + i, 1000) for i in range(1, 300)]
+    web = [(random.randrange(3000, 3400), random.randrange(3000, 3400)) for _ in range(250)]
+    links = chain + star + web + web[:20] + [(v, u) for u, v in web[20:40]] + [(7000, 7000)]
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    random.shuffle(links)
+    for own in (links, star, []):
+        got = {r.node: r.root for r in components(spark.createDataFrame(own, "u long, v long")).collect()}
+        assert got == {x: find(x) for pair in own for x in pair if find(x) != x}
