@@ -1,11 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Each class (toxic, ordinary) has a word model of order two with absolute discount. What the discount leaves of a history
-goes to the class's single words, and what it leaves of these to one backoff distribution that both classes share: the
-Kneser-Ney continuation counts (how many distinct words stand before a word). The pairs with a probability of their own
-are those that toxic rows hold more than `DISCOUNT` times; the classes keep the same pairs, so that all others cancel but
-for their histories. A word that neither class has more than `DISCOUNT` times is scored by the shared backoff alone, and
-its ratio is one constant. The counts are of all labelled rows but the held-out and the calibrating ones.
+goes to the class's single words, which count by how many distinct words stand before them in the class, and what it leaves
+of these to one backoff distribution that both classes share: the continuation counts of both together. A class's pairs have
+a probability of their own where the class holds them more than `DISCOUNT` times. A word that neither class has behind more
+than `DISCOUNT` words is scored by the shared backoff alone, and its ratio is one constant. The counts are of all labelled
+rows but the held-out and the calibrating ones. Only words' evidence above the least margin counts below, so pairs that stay
+under it with and without an entry are left out of the table, which changes no score.
 
 A word's evidence is the lesser of its log-likelihood ratios with and without its history, since pairs are soon learned by
 heart from copies of one text. A text's is the sum of what exceeds a margin, over the square root of its words; it is
@@ -62,16 +63,18 @@ def _summed(word: np.ndarray, prev: np.ndarray, tox: np.ndarray, other: np.ndarr
     return [word[new], prev[new], np.add.reduceat(tox, new), np.add.reduceat(other, new)]
 
 
-_PAIRS = "bucket int, word array<long>, prev array<int>, whole array<long>, tox array<int>, ord array<int>, size array<int>"
-_COUNTS = "kind int, word long, prev long, cont long, tox long, ord long"
+_PAIRS = "bucket int, word array<long>, prev array<long>, tox array<int>, ord array<int>, size array<int>"
+_SUMS = ("cont", "ct", "co", "tox", "ord")
+_COUNTS = "kind int, word long, prev long, " + ", ".join(f"{c} long" for c in _SUMS)
 
 
 def counts(docs: DataFrame, wide: np.ndarray, buckets: int) -> DataFrame:
-    """What the models are made of, from docs (text, toxic): word, cont (distinct words before it), tox, ord (its count by
-    class) with kind 0, and pairs (prev, word) that toxic texts hold more than DISCOUNT times, with kind 2.
+    """What the models are made of, from docs (text, toxic): word, cont (distinct words before it), ct, co (those by class), tox,
+    ord (its count by class) with kind 0, and pairs (prev, word) that a class holds more than DISCOUNT times, with kind 2 where
+    toxic texts do and 3 where only ordinary ones do.
 
     A task sums its pairs and sends them in arrays to the bucket of their word; pairs of `wide` words, which are frequent, go
-    to the bucket of the pair, and their sums meet once more. Words before a word are told apart by 32 bits of their hash."""
+    to the bucket of the pair, and their sums meet once more."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -86,10 +89,10 @@ def counts(docs: DataFrame, wide: np.ndarray, buckets: int) -> DataFrame:
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 new = np.flatnonzero(np.concatenate([[True], word[a + 1 : b] != word[a : b - 1]]))
                 cols = [
-                    word[a:b][new].view(np.int64), (prev[a:b] >> np.uint64(32)).astype(np.uint32).view(np.int32), prev[a:b][tox[a:b] > 0].view(np.int64),
+                    word[a:b][new].view(np.int64), prev[a:b].view(np.int64),
                     tox[a:b].astype(np.int32), other[a:b].astype(np.int32), np.diff(np.append(new, b - a)).astype(np.int32),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 1]), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in cols)], ["bucket", "word", "prev", "whole", "tox", "ord", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 1]), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in cols)], ["bucket", "word", "prev", "tox", "ord", "size"])
 
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -110,20 +113,15 @@ def counts(docs: DataFrame, wide: np.ndarray, buckets: int) -> DataFrame:
         now, parts = None, []
 
         def out() -> pa.RecordBatch:
-            word, prev, tox, other, whole = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((prev, word))
-            word, prev, tox, other, whole = (x[order] for x in (word, prev, tox, other, whole))
-            new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (prev[1:] != prev[:-1])]))
-            word, tox, other, whole = word[new], np.add.reduceat(tox, new), np.add.reduceat(other, new), np.maximum.reduceat(whole, new)
+            word, prev, tox, other = _summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            pair = np.flatnonzero((tox > DISCOUNT) & (whole != 0))  # not those at a text's start
-            kind = np.append(np.where(np.isin(word[first], wide), 1, 0), np.full(len(pair), 2)).astype(np.int32)
-            none = np.zeros(len(first), np.int64)
-            cols = [
-                np.append(word[first], word[pair]).view(np.int64), np.append(none, whole[pair].view(np.int64)), np.append(np.diff(np.append(first, len(word))), np.zeros(len(pair), np.int64)),
-                np.append(np.add.reduceat(tox, first), tox[pair]), np.append(np.add.reduceat(other, first), other[pair]),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(c) for c in cols)], ["kind", "word", "prev", "cont", "tox", "ord"])
+            pair = np.flatnonzero((np.maximum(tox, other) > DISCOUNT) & (prev != 0))  # not those at a text's start
+            kind = np.append(np.where(np.isin(word[first], wide), 1, 0), np.where(tox[pair] > DISCOUNT, 2, 3)).astype(np.int32)
+            own = [np.add.reduceat(x, first) for x in (np.ones_like(tox), (tox > 0).astype(np.int64), (other > 0).astype(np.int64), tox, other)]
+            none = np.zeros(len(pair), np.int64)
+            cols = [np.append(word[first], word[pair]).view(np.int64), np.append(np.zeros(len(first), np.uint64), prev[pair]).view(np.int64)]
+            cols += [np.append(x, y) for x, y in zip(own, (none, none, none, tox[pair], other[pair]), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(c) for c in cols)], ["kind", "word", "prev", *_SUMS])
 
         for batch in batches:
             for i, bucket in enumerate(batch.column("bucket").to_pylist()):
@@ -131,44 +129,57 @@ def counts(docs: DataFrame, wide: np.ndarray, buckets: int) -> DataFrame:
                     if parts:
                         yield out()
                     now, parts = bucket, []
-                word, prev, whole, tox, other, size = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("word", "prev", "whole", "tox", "ord", "size"))
-                full = np.zeros(len(prev), np.uint64)
-                full[tox > 0] = whole.view(np.uint64)
-                parts.append([np.repeat(word.view(np.uint64), size), prev.view(np.uint32), tox.astype(np.int64), other.astype(np.int64), full])
+                word, prev, tox, other, size = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("word", "prev", "tox", "ord", "size"))
+                parts.append([np.repeat(word.view(np.uint64), size), prev.view(np.uint64), tox.astype(np.int64), other.astype(np.int64)])
         if parts:
             yield out()
 
     pairs = docs.select("text", F.col("toxic").cast("long").alias("toxic")).transform(map_arrow, local, _PAIRS)
     got = common.written(pairs.repartition("bucket").sortWithinPartitions("bucket").transform(map_arrow, merged, _COUNTS), "toxicity-parts")
-    parts = got.where("kind = 1").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("cont", "tox", "ord")))
-    parts = parts.select(F.lit(0).alias("kind"), "word", F.lit(0).cast("long").alias("prev"), "cont", "tox", "ord")
+    parts = got.where("kind = 1").groupBy("word").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    parts = parts.select(F.lit(0).alias("kind"), "word", F.lit(0).cast("long").alias("prev"), *_SUMS)
     return got.where("kind != 1").unionByName(parts)
 
 
-def entries(got: DataFrame) -> tuple[DataFrame, float] | None:
+def entries(got: DataFrame, continued: bool = False) -> tuple[DataFrame, float] | None:
     """(key, ratio, size) of all words, pairs and histories that need an entry, and the ratio of other words; None without
-    words of both classes. got: counts()."""
+    words of both classes. got: counts().
+
+    continued: Kneser-Ney, as `fit` takes it. A class's single words go by how many words stand before them in the class, and
+    pairs of either class have a probability of their own. Pairs whose evidence is below all margins with and without an entry get
+    none. Otherwise single words go by occurrence, and only pairs of toxic texts count."""
     words = got.where("kind = 0")
-    left = [F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))) for c in ("tox", "ord")]
-    tot = words.agg(F.sum("tox").alias("nt"), F.sum("ord").alias("no"), left[0].alias("lt"), left[1].alias("lo"), F.sum("cont").alias("cont"), F.count(F.lit(1)).alias("v")).first()
+    low = ("ct", "co") if continued else ("tox", "ord")
+    left = [F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))) for c in low]
+    tot = words.agg(F.sum(low[0]).alias("nt"), F.sum(low[1]).alias("no"), left[0].alias("lt"), left[1].alias("lo"), F.sum("cont").alias("cont"), F.count(F.lit(1)).alias("v")).first()
     if not tot["nt"] or not tot["no"]:
         return None
     back = (F.col("cont") + 0.5) / (tot["cont"] + 0.5 * (tot["v"] + 1))
     lam_t, lam_o = tot["lt"] / tot["nt"], tot["lo"] / tot["no"]
     over = lambda c: F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))
-    words = words.select("word", "tox", "ord", (over("tox") / tot["nt"] + lam_t * back).alias("pt"), (over("ord") / tot["no"] + lam_o * back).alias("po"))
+    own = F.greatest(*low) > DISCOUNT
+    words = words.select("word", "tox", "ord", own.alias("own"), (over(low[0]) / tot["nt"] + lam_t * back).alias("pt"), (over(low[1]) / tot["no"] + lam_o * back).alias("po"))
     ratio = lambda a, b: F.log(a / b).cast("float").alias("ratio")
     size = F.floor(8 * F.log2(F.col("tox") + F.col("ord"))).alias("size")
-    single = words.where((F.col("tox") > DISCOUNT) | (F.col("ord") > DISCOUNT)).select(F.col("word").alias("key"), ratio(F.col("pt"), F.col("po")), size)
+    single = words.where("own").select(F.col("word").alias("key"), ratio(F.col("pt"), F.col("po")), size)
 
-    pairs = got.where("kind = 2").select("word", "prev", "tox", "ord", over("tox").alias("ot"), over("ord").alias("oo"))
-    before = pairs.groupBy("prev").agg(F.sum("ot").alias("st"), F.sum("oo").alias("so"))
+    pairs = got.where(F.col("kind").isin(2, 3) if continued else F.col("kind") == 2).select("word", "prev", "tox", "ord", over("tox").alias("ot"), over("ord").alias("oo"))
+    before = pairs.groupBy("prev").agg(F.sum("ot").alias("st"), F.sum("oo").alias("so"), F.count(F.lit(1)).alias("n"))
     before = before.join(words.select(F.col("word").alias("prev"), F.col("tox").alias("ht"), F.col("ord").alias("ho")), "prev")
     # ends of texts count as words, so a history is followed as often as it occurs
-    before = common.written(before.withColumn("bt", 1 - F.col("st") / F.col("ht")).withColumn("bo", F.when(F.col("ho") > 0, 1 - F.col("so") / F.col("ho")).otherwise(1.0)), "toxicity-histories")
-    pairs = pairs.join(before, "prev").join(words.select("word", "pt", "po"), "word")
+    rest = lambda s, h: F.when(F.col(h) > 0, 1 - F.col(s) / F.col(h)).otherwise(1.0)
+    before = common.written(before.withColumn("bt", rest("st", "ht")).withColumn("bo", rest("so", "ho")), "toxicity-histories")
+    total = pairs.count()
+    pairs = common.lookup(pairs, ["prev"], before.select("prev", "ht", "ho", "bt", "bo", "n"), "n", total).drop("n")
+    ends = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(words.select("word", "pt", "po"), "word")
+    pairs = common.lookup(pairs, ["word"], ends, "n", total)
+    own_t = F.when(F.col("ht") > 0, F.col("ot") / F.col("ht")).otherwise(0.0)
     own_o = F.when(F.col("ho") > 0, F.col("oo") / F.col("ho")).otherwise(0.0)
-    both = pairs.select("word", "prev", ratio(F.col("ot") / F.col("ht") + F.col("bt") * F.col("pt"), own_o + F.col("bo") * F.col("po")), size)
+    word = F.log(F.col("pt") / F.col("po"))
+    most = F.least(word, F.greatest("ratio", F.log(F.col("bt") / F.col("bo")) + word))
+    both = pairs.select("word", "prev", ratio(own_t + F.col("bt") * F.col("pt"), own_o + F.col("bo") * F.col("po")), size, "pt", "po", "bt", "bo")
+    both = both.where(most > MARGINS[0] - 1e-3) if continued else both
+    both = both.select("word", "prev", "ratio", "size")
     after = before.select(F.lit(None).cast("long").alias("word"), "prev", ratio(F.col("bt"), F.col("bo")), F.floor(8 * F.log2(F.col("ht") + F.col("ho"))).alias("size"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_ordinar
     marked, maybe = common.sieve(texts, F.col("doc_id"), rest.select("doc_id"))
     counted = marked.where(maybe).drop(maybe).hint("merge").join(rest.hint("merge"), "doc_id")
     got = common.written(counts(counted, wide_words(rows), max(64, sum(n.values()) // ROWS_PER_BUCKET)), "toxicity-counts")
-    made = entries(got)
+    made = entries(got, continued=True)
     if made is None:
         return None
     model = Model.of(common.written(made[0], "toxicity-entries"), made[1], head)
