@@ -9,9 +9,10 @@ until a pair as little similar as the least similar one found so far would have
 `RECALL` (while none was found, a pair at the threshold counts as such). Shortening ends at the depth where any pair at
 the threshold meets with that probability, the deepest cut that a corpus may need.
 
-A component up to a bound of texts and 5-grams is one unit of work, which compares all its pairs. A larger one isn't
-compared as a whole, since its pairs grow with the square of its size: its trie nodes of that last depth are the units, cut
-into blocks where they pass the bound, and a pair is counted in the first tree where it meets. Units send on counts of
+A component up to a bound of texts and 5-grams is one unit of work, which compares all its pairs. A larger one is cut into
+blocks, and two blocks are a unit; every text goes to as many units as there are blocks. Where these are more than the trees, the
+component isn't compared as a whole, since its pairs grow with the square of its size: its trie nodes of that last depth are
+cut so instead, and a pair is counted in the first tree where it meets. Units send on counts of
 links and local components only, never the pairs.
 
 Defined results: null and empty texts and texts without a word have no 5-gram, no copies and no links, and are classes
@@ -252,27 +253,37 @@ def _grow(before: DataFrame | None, ties: DataFrame, total: int) -> DataFrame:
     return common.written(found.select("node", F.coalesce("new", "root").alias("root"), F.col("new").isNotNull().alias("grown")), "forest-components")
 
 
-def _units(found: DataFrame, leaves: DataFrame, reps: DataFrame, total: int) -> DataFrame:
-    """The units of work for some components: UNIT, side, id, did, th, copies, roots."""
+def _blocked(rows: DataFrame, rest: list[str]) -> DataFrame:
+    """UNIT, side and rest of rows (unit, tree, n and g of the unit, id, rest), each once for every block its own is compared with."""
+    zero, blocks = F.lit(0), _blocks()
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return rows.select("unit", "tree", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), side.alias("side"), *rest)
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
+
+
+def _units(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """The units of work for some components: UNIT, side, id, did, th, copies, roots. A component of no more blocks than there are
+    trees has all its blocks compared, so that no text is sent to more units than that; a larger one goes by its nodes."""
     kept, maybe = common.sieve(reps.select("id", "did", "th", "grams", "copies", F.col("root").alias("roots")), F.col("id"), found.select("node"))
     members = kept.where(maybe).drop(maybe).join(found.select(F.col("node").alias("id"), F.col("root").alias("unit")), "id")
     members = common.written(members, "forest-members")
     sizes = members.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("g"))
-    members = common.lookup(members, ["unit"], sizes, "n", members.count())
-    large, zero, rest = (F.col("n") > BLOCK_DOCS) | (F.col("g") > BLOCK_GRAMS), F.lit(0), ["id", "did", "th", "copies", "roots"]
-    whole = members.where(~large).select("unit", F.lit(-1).alias("tree"), zero.alias("lo"), zero.alias("hi"), F.lit(2).alias("side"), *rest)
-    giant = common.written(members.where(large).select("grams", *rest), "forest-giants")
+    count = members.count()
+    members, rest = common.lookup(members, ["unit"], sizes, "n", count), ["id", "did", "th", "copies", "roots"]
+    few = _blocks() <= F.size("roots")
+    whole = _blocked(members.where(few).withColumn("tree", F.lit(-1)), rest)
+    giant = common.written(members.where(~few).select("grams", *rest), "forest-giants")
     if giant.isEmpty():
         return whole
-    inner = leaves.select("id", "tree", "root").join(giant.select("id", "grams"), "id")
-    sizes = inner.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("g"))
-    inner = common.lookup(inner, ["tree", "root"], sizes, "n", total).where("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
-    inner = inner.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    inner = inner.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    inner = inner.select(F.col("root").alias("unit"), "tree", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), side.alias("side"), "id")
-    return whole.unionByName(inner.join(giant.drop("grams"), "id"))
+    inner = giant.select("*", F.posexplode("roots").alias("tree", "unit"))
+    sizes = inner.groupBy("tree", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("g"))
+    inner = common.lookup(inner, ["tree", "unit"], sizes, "n", count * TREES).where("n > 1")
+    return whole.unionByName(_blocked(inner, rest))
 
 
 def _links(docs: DataFrame, leaves: DataFrame, reps: DataFrame, k: int, threshold: float, recall: float, forest: Forest) -> DataFrame:
@@ -287,7 +298,7 @@ def _links(docs: DataFrame, leaves: DataFrame, reps: DataFrame, k: int, threshol
         before, grown = found.select("node", "root"), found.where("grown").select("node", "root")
         if grown.isEmpty():
             continue
-        units = common.written(_units(grown, leaves, reps, total), "forest-units")
+        units = common.written(_units(grown, reps), "forest-units")
         rows, maybe = common.sieve(docs.select(_id().alias("did"), _hash().alias("th"), "text"), F.xxhash64("did", "th"), units.select(F.xxhash64("did", "th")))
         texts = rows.where(maybe).groupBy("did", "th").agg(F.first("text").alias("text"))  # repeated rows combine before the shuffle
         got = common.written(_verified(units.join(texts, ["did", "th"]), k, threshold), "forest-links").withColumn("depth", F.lit(depth))
