@@ -223,7 +223,7 @@ def _verified(rows: DataFrame, k: int, threshold: float) -> DataFrame:
     return dealt.select(*UNIT, "side", "id", "copies", "roots", "text").transform(map_arrow, run, "id long, links long, root long, low double")
 
 
-def _shorten(below: DataFrame, total: int, forest: Forest, depth: int) -> tuple[DataFrame, DataFrame]:
+def _tied(below: DataFrame, total: int, forest: Forest, depth: int) -> tuple[DataFrame, DataFrame]:
     """One level up the tries: the nodes of this depth (tree, root, rest of any leaf, least id) from those of the next depth, or
     from the leaves; and the ties (u, v) between the least ids of nodes that have become one."""
     node = ["tree", "root", "part"]
@@ -293,7 +293,7 @@ def _links(docs: DataFrame, leaves: DataFrame, reps: DataFrame, k: int, threshol
     for depth in range(forest.depth, forest.top - 1, -1):
         if not total:
             break
-        nodes, ties = _shorten(nodes, total, forest, depth)
+        nodes, ties = _tied(nodes, total, forest, depth)
         found = _grow(before, ties, total)
         before, grown = found.select("node", "root"), found.where("grown").select("node", "root")
         if grown.isEmpty():
