@@ -2,14 +2,21 @@
 
 Every step is a grouped minimum and a lookup of it, in which the minima of nodes with very many links are broadcast, so
 that no node's links are gathered in one place; after each step the links are written to the shared folder, which cuts the
-lineage. Links that are stars already take no step."""
+lineage. Links that are stars already take no step. Up to `ALONE` links are walked by a single task instead, which spares the
+driver the many small jobs of the steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import lookup, written
+from tessella.shipping import map_arrow
+
+ALONE = 1 << 17
 
 # links: u, v with u > v, each once
 
@@ -36,10 +43,30 @@ def _settled(links: DataFrame) -> tuple[int, bool]:
     return got["n"] or 0, not got["open"]
 
 
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of all links of one task."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: u, v (long). Returns node, root for all nodes that a link joins to a smaller one; root is the smallest of
     the component. Links of a node with itself and nulls don't count."""
     links = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    if links.count() <= ALONE:
+        return written(links.repartition(1).transform(map_arrow, _walked, "node long, root long"), "links")
     for _ in range(most_rounds):
         total, settled = _settled(links)
         if settled:
