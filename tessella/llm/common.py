@@ -130,7 +130,7 @@ def sieve(df: DataFrame, key: Column, members: DataFrame) -> tuple[DataFrame, st
     word, bit, bits, maybe = fresh("word", "bit", "bits", "maybe")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
     at = place(F.col(members.columns[0]))
-    words = members.select(F.shiftright(at, 6).alias(word), (at % 64).cast("int").alias(bit)).distinct()
+    words = members.select(F.shiftright(at, 6).alias(word), (at % 64).cast("int").alias(bit))
     words = words.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias(bits))
     here = place(key.cast(members.schema[0].dataType))
     marked = df.withColumns({word: F.shiftright(here, 6), bit: (here % 64).cast("int")}).join(F.broadcast(words), word, "left")
@@ -164,12 +164,15 @@ def once(df: DataFrame, keys: Sequence[Column], repeated: DataFrame) -> DataFram
 HOT_LEAST, HOT_MOST = 64, 4096
 
 
-def lookup(rows: DataFrame, keys: list[str], entries: DataFrame, size: str, total: int) -> DataFrame:
+def lookup(rows: DataFrame, keys: list[str], entries: DataFrame, size: str, total: int, number: int | None = None) -> DataFrame:
     """rows with the columns of entries (one row for a value of the keys), null where there is none.
 
     size names the column of entries that says how many of the `total` rows meet the entry. Fewer than HOT_MOST entries can
     be met by more than total / HOT_MOST rows each, so those are broadcast whatever the input; the rest is joined by a shuffle
-    in which no key has more rows than that."""
+    in which no key has more rows than that. Where it is known that there are no more than HOT_MOST entries (number), all are
+    broadcast, and nothing is shuffled."""
+    if number is not None and number <= HOT_MOST:
+        return rows.join(F.broadcast(entries), keys, "left")
     cut_at = max(HOT_LEAST, total // HOT_MOST)
     [hot] = fresh("hot")
     seen = rows.join(F.broadcast(entries.where(F.col(size) > cut_at).withColumn(hot, F.lit(True))), keys, "left")

@@ -7,7 +7,7 @@ driver the many small jobs of the steps."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,8 +43,8 @@ def _settled(links: DataFrame) -> tuple[int, bool]:
     return got["n"] or 0, not got["open"]
 
 
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node and root of all links of one task."""
+def _merged(links: Iterable[tuple[int, int]]) -> tuple[dict[int, int], Callable[[int], int]]:
+    """The nodes that a link joins to a smaller one, as keys, and the function that gives any node's root."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -52,15 +52,52 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x] = x = up.get(y, y)
         return x
 
+    for u, v in links:
+        a, b = top(u), top(v)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return up, top
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            a, b = top(u), top(v)
-            if a != b:
-                up[max(a, b)] = min(a, b)
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of all links of one task."""
+    up, top = _merged(_rows(batches))
     nodes = list(up)
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
+def _regrown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root and grown of all rows of one task: u, v, known (v is u's root in the components of before, else a new link)."""
+    root: dict[int, int] = {}
+    links = []
+    for u, v, known in _rows(batches):
+        if known:
+            root[u] = v
+        else:
+            links.append((u, v))
+    up, top = _merged((root.get(u, u), root.get(v, v)) for u, v in links)
+    grown = {top(x) for x in up}
+    nodes = list(root.keys() | {x for link in links for x in link})
+    roots = [top(root.get(x, x)) for x in nodes]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64()), pa.array([x in grown for x in roots], pa.bool_())], ["node", "root", "grown"])
+
+
+def regrown(before: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """What becomes of the components of before (node, root; roots are nodes too) by new links (u, v): node, root, grown (the
+    component has more than one of before's, or of single nodes). None where both are more rows than one task walks."""
+    if links.count() + (before.count() if before is not None else 0) > ALONE:
+        return None
+    rows = links.select("u", "v", F.lit(False).alias("known"))
+    if before is not None:
+        rows = rows.unionByName(before.select(F.col("node").alias("u"), F.col("root").alias("v"), F.lit(True).alias("known")))
+    return rows.repartition(1).transform(map_arrow, _regrown, "node long, root long, grown boolean")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: u, v (long). Returns node, root for all nodes that a link joins to a smaller one; root is the smallest of
     the component. Links of a node with itself and nulls don't count."""

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import common
-from tessella.llm.components import components
+from tessella.llm.components import components, regrown
 from tessella.shipping import map_arrow
 
 WORDS, THRESHOLD, TREES, MAX_DEPTH, RECALL = 5, 0.8, 24, 8, 0.999
@@ -237,9 +237,13 @@ def _tied(below: DataFrame, total: int, forest: Forest, depth: int) -> tuple[Dat
 
 def _grow(before: DataFrame | None, ties: DataFrame, total: int) -> DataFrame:
     """Components (node, root, grown) after new ties. Ties are drawn between the components of before, so that what has been
-    joined isn't walked again; grown says whether a component has more than one of before's, or of single representatives."""
+    joined isn't walked again; grown says whether a component has more than one of before's, or of single representatives.
+    Few ties and nodes are left to one task, which spares the driver some twenty shuffles and broadcasts."""
+    ties = common.written(ties.distinct(), "forest-ties")
+    few = regrown(before, ties)
+    if few is not None:
+        return common.written(few, "forest-components")
     if before is not None:
-        ties = common.written(ties.distinct(), "forest-ties")
         for end in ("u", "v"):
             ends = ties.groupBy(end).agg(F.count(F.lit(1)).alias("n")).join(before.withColumnRenamed("node", end), end)
             ties = common.lookup(ties, [end], ends, "n", total).withColumn(end, F.coalesce("root", end)).select("u", "v")
@@ -266,23 +270,23 @@ def _blocks() -> Column:
     return F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
 
 
-def _units(found: DataFrame, reps: DataFrame) -> DataFrame:
+def _units(found: DataFrame, reps: DataFrame, trees: int) -> DataFrame:
     """The units of work for some components: UNIT, side, id, did, th, copies, roots. A component of no more blocks than there are
     trees has all its blocks compared, so that no text is sent to more units than that; a larger one goes by its nodes."""
     kept, maybe = common.sieve(reps.select("id", "did", "th", "grams", "copies", F.col("root").alias("roots")), F.col("id"), found.select("node"))
     members = kept.where(maybe).drop(maybe).join(found.select(F.col("node").alias("id"), F.col("root").alias("unit")), "id")
     members = common.written(members, "forest-members")
-    sizes = members.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("g"))
-    count = members.count()
-    members, rest = common.lookup(members, ["unit"], sizes, "n", count), ["id", "did", "th", "copies", "roots"]
-    few = _blocks() <= F.size("roots")
+    sizes = common.written(members.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("g")), "forest-sizes")
+    units, count, most = sizes.agg(F.count(F.lit(1)), F.sum("n"), F.max(_blocks())).first()
+    members, rest = common.lookup(members, ["unit"], sizes, "n", count or 0, units), ["id", "did", "th", "copies", "roots"]
+    if (most or 0) <= trees:
+        return _blocked(members.withColumn("tree", F.lit(-1)), rest)
+    few = _blocks() <= trees
     whole = _blocked(members.where(few).withColumn("tree", F.lit(-1)), rest)
     giant = common.written(members.where(~few).select("grams", *rest), "forest-giants")
-    if giant.isEmpty():
-        return whole
     inner = giant.select("*", F.posexplode("roots").alias("tree", "unit"))
     sizes = inner.groupBy("tree", "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("g"))
-    inner = common.lookup(inner, ["tree", "unit"], sizes, "n", count * TREES).where("n > 1")
+    inner = common.lookup(inner, ["tree", "unit"], sizes, "n", count * trees).where("n > 1")
     return whole.unionByName(_blocked(inner, rest))
 
 
@@ -298,7 +302,7 @@ def _links(docs: DataFrame, leaves: DataFrame, reps: DataFrame, k: int, threshol
         before, grown = found.select("node", "root"), found.where("grown").select("node", "root")
         if grown.isEmpty():
             continue
-        units = common.written(_units(grown, reps), "forest-units")
+        units = common.written(_units(grown, reps, forest.trees), "forest-units")
         rows, maybe = common.sieve(docs.select(_id().alias("did"), _hash().alias("th"), "text"), F.xxhash64("did", "th"), units.select(F.xxhash64("did", "th")))
         texts = rows.where(maybe).groupBy("did", "th").agg(F.first("text").alias("text"))  # repeated rows combine before the shuffle
         got = common.written(_verified(units.join(texts, ["did", "th"]), k, threshold), "forest-links").withColumn("depth", F.lit(depth))
