@@ -13,13 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.scratch import cut, scratch
+from tessella.shipping import release_driver
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-shared_path, written = scratch, cut
+shared_path = scratch
+
+
+def written(df: DataFrame, tag: str = "step", **options: str) -> DataFrame:
+    """Written and read back (`cut`). A query writes some dozens of tables, and what planning and compiling each of them left
+    behind in the driver is given back after it."""
+    out = cut(df, tag, **options)
+    release_driver(df.sparkSession)
+    return out
 
 
 def fold(doc_id: str | Column, n: int) -> Column:

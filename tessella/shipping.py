@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES, BATCH_KEY = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -42,6 +43,20 @@ def release() -> None:
         trim(0)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """The same for the driver's JVM: compilers and buffers free much native memory, which the C library keeps for each of its
+    many threads. A JVM that has no such command (older ones, or without glibc) stays as it is."""
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    try:
+        beans, kind = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        given = gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        next(m for m in kind.getMethods() if m.getName() == "invoke").invoke(beans, given)  # the bean server's own class isn't open
+    except Py4JError:
+        pass
+
+
 def map_arrow(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     """df.mapInArrow, with the package known to the workers."""
     ship(df.sparkSession)
