@@ -232,11 +232,20 @@ def histogram_bin(x: Column, low: float, high: float, bins: int) -> Column:
     return F.least(F.greatest(F.round((x - low) * bins / (high - low)), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
-def assign_generic(clusters: DataFrame, features: DataFrame, metric: D.Metric, coverage: float, compact: float, width: int, height: int, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def _with_radius(at: DataFrame, features: DataFrame, keys: Sequence[str], rho: float | None) -> DataFrame:
+    """at (keys, x, y, ...) with the radius _r by density. rho: the density everywhere, pixels or not; by default it is that of the
+    pixel (x, y) lies on, and rows on no pixel go."""
+    if rho is not None:
+        return at.withColumn("_r", F.lit(1 / math.sqrt(math.pi * rho)))
+    under = at.withColumns({"px": trunc(F.col("x")).cast("int"), "py": trunc(F.col("y")).cast("int")})
+    under = under.join(features.where("rho > 0").select(*keys, "px", "py", "rho"), [*keys, "px", "py"])
+    return under.drop("px", "py").withColumn("_r", 1 / F.sqrt(math.pi * F.col("rho"))).drop("rho")
+
+
+def assign_generic(clusters: DataFrame, features: DataFrame, metric: D.Metric, coverage: float, compact: float, width: int, height: int, names: Sequence[str], keys: Sequence[str] = (), rho: float | None = None) -> DataFrame:
     """Feature clustering: clusters (cluster_id, x, y, names...), features (px, py, rho, names...); rho 0 is no pixel. The
-    distance is compactness by radius times the pixel distance, plus the metric of features."""
-    at = clusters.select(*keys, "cluster_id", "x", "y", *(F.col(n).alias(f"_{n}") for n in names), trunc(F.col("x")).cast("int").alias("px"), trunc(F.col("y")).cast("int").alias("py"))
-    at = at.join(features.where("rho > 0").select(*keys, "px", "py", "rho"), [*keys, "px", "py"]).drop("px", "py").withColumn("_r", 1 / F.sqrt(math.pi * F.col("rho"))).drop("rho")
+    distance is compactness by radius times the pixel distance, plus the metric of features. rho: see `_with_radius`."""
+    at = _with_radius(clusters.select(*keys, "cluster_id", "x", "y", *(F.col(n).alias(f"_{n}") for n in names)), features, keys, rho)
     reach = F.col("_r") * coverage
     xs = F.sequence(F.greatest(trunc(F.col("x") - reach), F.lit(0)), F.least(trunc(F.col("x") + reach), F.lit(width - 1)))
     ys = F.sequence(F.greatest(trunc(F.col("y") - reach), F.lit(0)), F.least(trunc(F.col("y") + reach), F.lit(height - 1)))
@@ -255,13 +264,12 @@ def means_generic(labels: DataFrame, features: DataFrame, names: Sequence[str],
     return _numbered(got, keys, "label")
 
 
-def local_mean(seeds: DataFrame, features: DataFrame, names: Sequence[str], width: int, height: int, keys: Sequence[str] = (), factor: float = 0.25) -> DataFrame:
-    """Clusters from seeds (seed_id, x, y): features averaged over a quarter of the radius around each."""
-    at = seeds.select(*keys, "seed_id", "x", "y", trunc(F.col("x")).cast("int").alias("px"), trunc(F.col("y")).cast("int").alias("py"))
-    at = at.join(features.where("rho > 0").select(*keys, "px", "py", "rho"), [*keys, "px", "py"]).withColumn("reach", factor / F.sqrt(math.pi * F.col("rho")))
+def local_mean(seeds: DataFrame, features: DataFrame, names: Sequence[str], width: int, height: int, keys: Sequence[str] = (), factor: float = 0.25, rho: float | None = None) -> DataFrame:
+    """Clusters from seeds (seed_id, x, y): features averaged over a quarter of the radius around each. rho: see `_with_radius`."""
+    at = _with_radius(seeds.select(*keys, "seed_id", "x", "y"), features, keys, rho).withColumn("reach", factor * F.col("_r"))
     xs = F.sequence(F.greatest(trunc(F.col("x") - F.col("reach")), F.lit(0)), F.least(trunc(F.col("x") + F.col("reach")), F.lit(width - 1)))
     ys = F.sequence(F.greatest(trunc(F.col("y") - F.col("reach")), F.lit(0)), F.least(trunc(F.col("y") + F.col("reach")), F.lit(height - 1)))
-    spread = at.drop("px", "py", "rho").withColumn("py", F.explode(ys)).withColumn("px", F.explode(xs)).withColumns({"px": F.col("px").cast("int"), "py": F.col("py").cast("int")})
+    spread = at.drop("_r").withColumn("py", F.explode(ys)).withColumn("px", F.explode(xs)).withColumns({"px": F.col("px").cast("int"), "py": F.col("py").cast("int")})
     rows = spread.join(features.select(*keys, "px", "py", *names), [*keys, "px", "py"])
     got = rows.groupBy(*keys, "seed_id", "x", "y").agg(*(F.round(F.avg(n), PLACES).alias(n) for n in names))
     return _numbered(got, keys, "seed_id")

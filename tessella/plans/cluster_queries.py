@@ -315,7 +315,7 @@ def generic_sql(n: int) -> str:
 @query("C18", generic_sql(1) + "SELECT px, py, label FROM h0")
 def c18(spark, sf):
     f, h = feature_points(spark, sf), feature_height(spark, sf)
-    return C.assign_generic(C.local_mean(feature_seeds(spark, h), f, NAMES, FW, h), f, C.euclid(NAMES), 3.0, 1.0, FW, h, NAMES)
+    return C.assign_generic(C.local_mean(feature_seeds(spark, h), f, NAMES, FW, h, rho=RHO), f, C.euclid(NAMES), 3.0, 1.0, FW, h, NAMES, rho=RHO)
 
 
 @query("C19", generic_sql(3) + "SELECT cluster_id, round(x, 6) AS x, round(y, 6) AS y, " + ", ".join(f"round({f}, 6) + 0.0e0 AS {f}" for f in NAMES) + " FROM g3")
