@@ -242,9 +242,8 @@ def _with_radius(at: DataFrame, features: DataFrame, keys: Sequence[str], rho: f
     return under.drop("px", "py").withColumn("_r", 1 / F.sqrt(math.pi * F.col("rho"))).drop("rho")
 
 
-def assign_generic(clusters: DataFrame, features: DataFrame, metric: D.Metric, coverage: float, compact: float, width: int, height: int, names: Sequence[str], keys: Sequence[str] = (), rho: float | None = None) -> DataFrame:
-    """Feature clustering: clusters (cluster_id, x, y, names...), features (px, py, rho, names...); rho 0 is no pixel. The
-    distance is compactness by radius times the pixel distance, plus the metric of features. rho: see `_with_radius`."""
+def _nearest(clusters: DataFrame, features: DataFrame, metric: D.Metric, coverage: float, compact: float, width: int, height: int, names: Sequence[str], keys: Sequence[str], rho: float | None) -> DataFrame:
+    """keys, px, py, label, names...: see `assign_generic`; of rows that share a pixel, the one that is nearest to a cluster."""
     at = _with_radius(clusters.select(*keys, "cluster_id", "x", "y", *(F.col(n).alias(f"_{n}") for n in names)), features, keys, rho)
     reach = F.col("_r") * coverage
     xs = F.sequence(F.greatest(trunc(F.col("x") - reach), F.lit(0)), F.least(trunc(F.col("x") + reach), F.lit(width - 1)))
@@ -253,13 +252,22 @@ def assign_generic(clusters: DataFrame, features: DataFrame, metric: D.Metric, c
     pairs = pairs.join(features.where("rho > 0").select(*keys, "px", "py", *names), [*keys, "px", "py"])
     far = F.sqrt((F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y")))
     d = compact / F.col("_r") * far + metric({n: F.col(n) for n in names}, {n: F.col(f"_{n}") for n in names})
-    best = pairs.groupBy(*keys, "px", "py").agg(F.min(F.struct(d.alias("d"), "cluster_id")).alias("b"))
-    return best.select(*keys, "px", "py", F.col("b.cluster_id").alias("label"))
+    best = pairs.groupBy(*keys, "px", "py").agg(F.min(F.struct(d.alias("d"), "cluster_id", *names)).alias("b"))
+    return best.select(*keys, "px", "py", F.col("b.cluster_id").alias("label"), *(F.col(f"b.{n}").alias(n) for n in names))
+
+
+def assign_generic(clusters: DataFrame, features: DataFrame, metric: D.Metric, coverage: float, compact: float, width: int, height: int, names: Sequence[str], keys: Sequence[str] = (), rho: float | None = None) -> DataFrame:
+    """Feature clustering: clusters (cluster_id, x, y, names...), features (px, py, rho, names...); rho 0 is no pixel. The
+    distance is compactness by radius times the pixel distance, plus the metric of features. rho: see `_with_radius`."""
+    return _nearest(clusters, features, metric, coverage, compact, width, height, names, keys, rho).select(*keys, "px", "py", "label")
 
 
 def means_generic(labels: DataFrame, features: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Mean pixel and features of the non-empty clusters, renumbered in order."""
-    rows = labels.join(features.select(*keys, "px", "py", *names), [*keys, "px", "py"])
+    return _means(labels.join(features.select(*keys, "px", "py", *names), [*keys, "px", "py"]), names, keys)
+
+
+def _means(rows: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     got = rows.groupBy(*keys, "label").agg((F.sum("px") / F.count(F.lit(1))).alias("x"), (F.sum("py") / F.count(F.lit(1))).alias("y"), *(F.round(F.avg(n), PLACES).alias(n) for n in names))
     return _numbered(got, keys, "label")
 
@@ -279,15 +287,16 @@ def euclid(names: Sequence[str]) -> D.Metric:
     return lambda p, q: F.sqrt(dot_diff([p[n] for n in names], [q[n] for n in names]))
 
 
-def adaptive_clusters(features: DataFrame, seeds: DataFrame, names: Sequence[str], width: int, height: int, metric: D.Metric | None = None, iterations: int = 5, coverage: float = 3.0, compact: float = 1.0, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Seed, then assign and average a number of times. Returns labels (of the last clusters) and clusters."""
+def adaptive_clusters(features: DataFrame, seeds: DataFrame, names: Sequence[str], width: int, height: int, metric: D.Metric | None = None, iterations: int = 5, coverage: float = 3.0, compact: float = 1.0, keys: Sequence[str] = (), rho: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Seed, then assign and average a number of times. Returns labels (of the last clusters) and clusters. Rows that share a pixel
+    count as one in the averages, the nearest. rho: see `_with_radius`."""
     metric = metric or euclid(names)
     features = cut(features, "features")
-    clusters = cut(local_mean(seeds, features, names, width, height, keys), "clusters")
+    clusters = cut(local_mean(seeds, features, names, width, height, keys, rho=rho), "clusters")
     labels = None
     for _ in range(iterations):
-        labels = cut(assign_generic(clusters, features, metric, coverage, compact, width, height, names, keys), "labels")
-        clusters = cut(means_generic(labels, features, names, keys), "clusters")
+        labels = cut(_nearest(clusters, features, metric, coverage, compact, width, height, names, keys, rho), "labels")
+        clusters = cut(_means(labels, names, keys), "clusters")
     number = _numbered(labels.select(*keys, "label", F.col("label").alias("old")).distinct(), keys, "label").select(*keys, F.col("old").alias("label"), "cluster_id")
     return labels.join(number, [*keys, "label"]).select(*keys, "px", "py", F.col("cluster_id").alias("label")), clusters
 

@@ -321,7 +321,7 @@ def c18(spark, sf):
 @query("C19", generic_sql(3) + "SELECT cluster_id, round(x, 6) AS x, round(y, 6) AS y, " + ", ".join(f"round({f}, 6) + 0.0e0 AS {f}" for f in NAMES) + " FROM g3")
 def c19(spark, sf):
     h = feature_height(spark, sf)
-    return rounded(C.adaptive_clusters(feature_points(spark, sf), feature_seeds(spark, h), NAMES, FW, h, iterations=3)[1].select("cluster_id", "x", "y", *NAMES))
+    return rounded(C.adaptive_clusters(feature_points(spark, sf), feature_seeds(spark, h), NAMES, FW, h, iterations=3, rho=RHO)[1].select("cluster_id", "x", "y", *NAMES))
 
 
 @query("C20", generic_sql(5) + ", nm AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS id FROM h4 GROUP BY label) SELECT px, py, id AS label FROM h4 JOIN nm USING (label)")
