@@ -332,7 +332,7 @@ def c20(spark, sf):
 
 def adaptive(spark, sf) -> DataFrame:
     h = feature_height(spark, sf)
-    return C.adaptive_clusters(feature_points(spark, sf), feature_seeds(spark, h), NAMES, FW, h)[0]
+    return C.adaptive_clusters(feature_points(spark, sf), feature_seeds(spark, h), NAMES, FW, h, rho=RHO)[0]
 
 
 @query("C21", generic_sql(0) + "SELECT cluster_id, x, y, " + ", ".join(f"round({f}, 6) + 0.0e0 AS {f}" for f in NAMES) + f", round({_FR}, 6) AS radius FROM g0")
