@@ -339,5 +339,5 @@ def adaptive(spark, sf) -> DataFrame:
 def c21(spark, sf):
     """Radius from density, boxes and local means."""
     h = feature_height(spark, sf)
-    got = C.local_mean(feature_seeds(spark, h), feature_points(spark, sf), NAMES, FW, h).withColumn("radius", F.lit(1 / math.sqrt(math.pi * RHO)))
+    got = C.local_mean(feature_seeds(spark, h), feature_points(spark, sf), NAMES, FW, h, rho=RHO).withColumn("radius", F.lit(1 / math.sqrt(math.pi * RHO)))
     return rounded(got.select("cluster_id", *(F.col(n) for n in ("x", "y", *NAMES, "radius"))))

@@ -15,7 +15,7 @@ TABLES = {
 
 
 @pytest.mark.parametrize("kind", TABLES)
-@pytest.mark.parametrize("name", ["C18", "C19", "C20"])
+@pytest.mark.parametrize("name", ["C18", "C19", "C20", "C21"])
 def test_density_holds_between_pixels(spark, tmp_path, name, kind):
     con = duckdb.connect()
     con.sql(f"copy ({TABLES[kind]}) to '{tmp_path}/embeddings.parquet' (format parquet)")
