@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import metric as D
 from tessella.operators import cluster as C
-from tessella.plans.cluster_queries import COVERAGE, FW, NAMES, ONE_SQL, feature_height, feature_points, feature_seeds, generic_sql, labelled, loop_sql, one_step, points, seeds
+from tessella.plans.cluster_queries import COVERAGE, FW, NAMES, ONE_SQL, RHO, feature_height, feature_points, feature_seeds, generic_sql, labelled, loop_sql, one_step, points, seeds
 from tessella.plans.fixtures import H, W, lattice, over_lattice, table
 from tessella.plans.registry import query, r6, rounded
 from tessella.scratch import scratch
@@ -132,7 +132,7 @@ def u02(spark, sf):
 def u03(spark, sf):
     """Features are any columns, given by name."""
     f, h = feature_points(spark, sf), feature_height(spark, sf)
-    return C.assign_generic(C.local_mean(feature_seeds(spark, h), f, list(NAMES), FW, h), f, C.euclid(list(NAMES)), 3.0, 1.0, FW, h, list(NAMES))
+    return C.assign_generic(C.local_mean(feature_seeds(spark, h), f, list(NAMES), FW, h, rho=RHO), f, C.euclid(list(NAMES)), 3.0, 1.0, FW, h, list(NAMES), rho=RHO)
 
 
 @query("U04", over_lattice("SELECT label, count(*) AS n, round(sum(abs(c0-m)), 6) AS spread FROM (SELECT label, c0, avg(c0) OVER (PARTITION BY label) AS m FROM lab JOIN pts USING (px, py) WHERE label >= 0) GROUP BY label", ONE_SQL))
