@@ -303,10 +303,12 @@ def _large(docs: DataFrame, model: str, size: int) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, row, chunk, chunks, ids: one row per text, or per chunk of a text above `chunk` characters."""
+    """doc_id, row, chunk, chunks, ids, whole: one row per text, or per chunk of a text above `chunk` characters. `whole` is a
+    constant of either kind, so a filter on it leaves the other kind's encoding out of the plan."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > chunk
-    return _small(texts.where(~long), model).unionByName(_large(texts.where(long), model, chunk))
+    small, large = _small(texts.where(~long), model), _large(texts.where(long), model, chunk)
+    return small.withColumn("whole", F.lit(True)).unionByName(large.withColumn("whole", F.lit(False)))
 
 
 def decode_chunks(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -325,11 +327,13 @@ def decode_chunks(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_chunks, n_tokens, ids_digest (sum of id times its place from 1, modulo PRIME), text."""
-    parts = decode_chunks(encoded, model)
-    small = parts.where("chunks = 1").select("doc_id", F.lit(1).alias("n_chunks"), "n_tokens", F.col("s1").alias("ids_digest"), "text")
+    """doc_id, n_chunks, n_tokens, ids_digest (sum of id times its place from 1, modulo PRIME), text.
+
+    Whole texts and chunks are told apart before they are decoded, else either branch would encode and decode all of them."""
+    whole = F.col("whole") if "whole" in encoded.columns else F.col("chunks") == 1
+    small = decode_chunks(encoded.where(whole), model).select("doc_id", F.lit(1).alias("n_chunks"), "n_tokens", F.col("s1").alias("ids_digest"), "text")
     before = Window.partitionBy("row").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    large = parts.where("chunks > 1").withColumn("at", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)) % PRIME)
+    large = decode_chunks(encoded.where(~whole), model).withColumn("at", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)) % PRIME)
     large = large.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("chunks").alias("n_chunks"),
